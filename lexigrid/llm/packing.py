@@ -93,7 +93,7 @@ class WordBpe:
     """
 
     KEEP = 400_000
-    _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[\d\xb2\xb3\xb9\xbc\xbd\xbe]|(?:[^\s\w]|_)+")
+    _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc\xbd\xbe]+|[\d\xb2\xb3\xb9\xbc\xbd\xbe]|(?:[^\s\w]|_)+")
     _ODD = re.compile("[\x1c-\x1f\x85\xa0]|[^\x00-\xff]")
 
     def __init__(self, path: str):
