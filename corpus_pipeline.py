@@ -16,26 +16,31 @@ from lexigrid.llm import common, exact_dedup, langid, packing, secrets, simhash
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model rejects go: no letters, or a score below its calibrated bar."""
+    common.small_batches(spark)
     return langid.keep_identified(docs, langid.train(docs.where(langid.may_train())))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest doc_id stays."""
+    common.small_batches(spark)
     return exact_dedup.drop_exact_duplicates(docs, keep="largest")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that SimHash links join, the one with the smallest doc_id stays; shingles of five words."""
+    common.small_batches(spark)
     return simhash.drop_near_duplicates(docs, shingle=5)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the texts; every document stays."""
+    common.small_batches(spark)
     return secrets.redact_secrets(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents, placed in sequences."""
+    common.small_batches(spark)
     return packing.pack_documents(docs)
 
 
