@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The 29 code points that Python's str.split() breaks at; `\s` lacks some of them in Java's and DuckDB's expressions.
 WS = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -30,15 +31,20 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^[{WS}]+|[{WS}]+$", "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once a row even where body uses it in a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ngrams(tokens: Column, k: int) -> Column:
     """All runs of k tokens; empty if there are fewer."""
     none = F.array().cast("array<array<string>>")
-    return F.when(F.size(tokens) >= k, F.transform(F.sequence(F.lit(1), F.size(tokens) - (k - 1)), lambda i: F.slice(tokens, i, F.lit(k)))).otherwise(none)
+    return let(tokens, lambda t: F.when(F.size(t) >= k, F.transform(F.sequence(F.lit(1), F.size(t) - (k - 1)), lambda i: F.slice(t, i, F.lit(k)))).otherwise(none))
 
 
 def sorted_ngrams(tokens: Column, k: int) -> Column:
     """n-grams without their order: each gram's tokens sorted, repeats kept."""
-    return F.transform(ngrams(tokens, k), F.array_sort)
+    return F.transform(ngrams(tokens, k), lambda g: F.array_sort(g))
 
 
 def gram_text(gram: Column) -> Column:
@@ -90,13 +96,13 @@ def ceil_to_step(n: Column, step: int) -> Column:
     return (F.ceil(n / F.lit(step)) * step).cast("bigint")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ascii_fold(text: pd.Series) -> pd.Series:
     """Decompose (NFKD), then drop what is not ASCII; the one fold that SQL has no function for."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_unescape(text: pd.Series) -> pd.Series:
     import html
 

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _total(v: Column) -> Column:
@@ -52,7 +53,7 @@ def compose_mult(vectors: list[Column]) -> Column:
     return out
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _convolved(stack: pd.Series) -> pd.Series:
     return stack.map(lambda vs: np.real(np.fft.ifft(np.prod(np.fft.fft(np.stack([np.asarray(v, dtype=np.float64) for v in vs]), axis=1), axis=0))).tolist())
 

@@ -167,16 +167,12 @@ def cooc_reformat(spark, sf_dir):
 
 # bags
 
-_GRAM = "[array_to_string(t[i:i+{m}], ' ') for i in range(1, len(t) - {m} + 1)]"
-_SORTED = "[array_to_string(list_sort(t[i:i+{m}]), ' ') for i in range(1, len(t) - {m} + 1)]"
-
-
-def _grams_sql(k: int, ordered: bool) -> str:
-    return (_GRAM if ordered else _SORTED).format(m=k - 1)
-
-
 def _bag_sql(k: int, ordered: bool, min_count: int) -> str:
-    return f"""with tok as (select doc_id, {_TOKENS} as t from documents), g as (select doc_id, unnest({_grams_sql(k, ordered)}) as feature from tok),
+    words = ", ".join(["w", *(f"lead(w, {m}) over o" for m in range(1, k))])
+    gram = "array_to_string(ws, ' ')" if ordered else "array_to_string(list_sort(ws), ' ')"
+    return f"""with tok as (select doc_id, {_TOKENS} as t from documents), pos as (select doc_id, unnest(t) as w, unnest(range(len(t))) as p from tok),
+    runs as (select doc_id, [{words}] as ws from pos window o as (partition by doc_id order by p)),
+    g as (select doc_id, {gram} as feature from runs where ws[{k}] is not null),
     known as (select feature, (row_number() over (order by string_split(feature, ' ')) - 1)::bigint as feature_id from (select feature from g group by feature having count(*) >= {min_count}))
     select doc_id, feature_id, count(*) as "value" from g join known using (feature) group by doc_id, feature_id"""
 
@@ -345,7 +341,7 @@ def sentence_stats(spark, sf_dir):
 
 @query(
     f"""with {_vocab_sql(1, "conversations")}, known as (select word, id + 1 as id from vocab where id < 998),
-    own as (select conv_id, turn, list_transform({_WORDS}[1:30], x -> lower(x)) as t from conversations),
+    own as (select conv_id, turn, [lower(x) for x in {_WORDS}[1:30]] as t from conversations),
     tok as (select conv_id, turn, unnest(t) as word, unnest(range(len(t))) as p from own)
     select conv_id, turn, coalesce(ids, '') as ids from own left join (select conv_id, turn, string_agg(coalesce(id, 0)::varchar, ' ' order by p) as ids from tok left join known using (word) group by conv_id, turn) using (conv_id, turn)"""
 )
