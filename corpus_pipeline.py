@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigrid.llm import common, exact_dedup, langid, packing, secrets, simhash
+from lexigrid.llm import common, exact_dedup, langid, packing, secrets, wide_simhash
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +27,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that SimHash links join, the one with the smallest doc_id stays; shingles of five words."""
+    """Of documents that links join, the one with the smallest doc_id stays; shingles of five words, similarity 0.8 or more."""
     common.small_batches(spark)
-    return simhash.drop_near_duplicates(docs, shingle=5)
+    return wide_simhash.drop_similar(docs, shingle=5, similarity=0.8)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

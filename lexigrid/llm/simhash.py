@@ -32,6 +32,7 @@ DISTANCE = 4
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 SHINGLE = 4
 SEED = 42
+LOWEST = -(1 << 63)
 
 
 @cache
@@ -208,6 +209,28 @@ def components(links: DataFrame) -> DataFrame:
         edges = settle(moved.unionByName(small.select("a", F.col("m").alias("b"))).distinct())
 
 
+def label_members(prints: DataFrame, distinct: DataFrame, member: DataFrame) -> DataFrame:
+    """prints (doc_id, fp) with component_id.
+
+    distinct: fp, first_id (the least identifier, null counting as the lowest
+    long). member: node, root, as components() has them.
+    """
+    rooted = distinct.join(member.withColumnRenamed("node", "fp"), "fp", "inner")
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component"))
+    named = rooted.join(least, "root").select("fp", "component")
+    whole = distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "first_id").alias("component"))
+    return prints.join(whole, "fp").select("doc_id", "fp", F.when(F.col("component") != LOWEST, F.col("component")).alias("component_id"))
+
+
+def keep_least(df: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of df, with all their columns, whose identifier is the component_id of its row in labels; of repeated rows one stays."""
+    lowest = F.lit(LOWEST)
+    kept = labels.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", lowest).alias("_kept")).distinct()
+    key = F.coalesce(col(id_col).cast("long"), lowest)
+    ones = df.join(kept, key == F.col("_kept"), "left_semi")
+    return ones.groupBy(key.alias("_key")).agg(F.min_by(F.struct(*[col(c) for c in df.columns]), F.coalesce(col(text_col), F.lit(""))).alias("_row")).select(*[F.col("_row").getField(c).alias(c) for c in df.columns])
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """One row for each row of df: doc_id, fp long, component_id (the least identifier that links lead to).
 
@@ -217,21 +240,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     one identifier each get a row. Other columns are not read. An empty table
     gives no rows.
     """
-    lowest = -(1 << 63)
     prints = settle(fingerprints(df, id_col, text_col, shingle, seed))
-    distinct = settle(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(lowest))).alias("first_id")))
-    member = settle(components(near_links(distinct)))
-    rooted = distinct.join(member.withColumnRenamed("node", "fp"), "fp", "inner")
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component"))
-    named = rooted.join(least, "root").select("fp", "component")
-    whole = distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "first_id").alias("component"))
-    return prints.join(whole, "fp").select("doc_id", "fp", F.when(F.col("component") != lowest, F.col("component")).alias("component_id"))
+    distinct = settle(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(LOWEST))).alias("first_id")))
+    return label_members(prints, distinct, settle(components(near_links(distinct))))
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """The rows of df, with all their columns, of the document with the least identifier of each component; of repeated rows one stays."""
-    lowest = F.lit(-(1 << 63))
-    kept = near_duplicates(df, id_col, text_col, shingle, seed).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", lowest).alias("_kept")).distinct()
-    key = F.coalesce(col(id_col).cast("long"), lowest)
-    ones = df.join(kept, key == F.col("_kept"), "left_semi")
-    return ones.groupBy(key.alias("_key")).agg(F.min_by(F.struct(*[col(c) for c in df.columns]), F.coalesce(col(text_col), F.lit(""))).alias("_row")).select(*[F.col("_row").getField(c).alias(c) for c in df.columns])
+    return keep_least(df, near_duplicates(df, id_col, text_col, shingle, seed), id_col, text_col)

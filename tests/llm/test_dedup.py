@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from lexigrid.llm import exact_dedup, simhash
+from lexigrid.llm import exact_dedup, simhash, wide_simhash
 
 SCHEMA = "doc_id long, text string, digest string, hit boolean, fp long"
 
@@ -89,7 +89,7 @@ def test_every_pair_within_four_bits_shares_a_key():
     assert {r for r, _ in keys[0] & keys[1]} == set(range(4000))
 
 
-def brute_components(prints):
+def brute_components(prints, distance=4):
     """prints: (id, fingerprint) -> id -> least id reachable."""
     root = {i: i for i, _ in prints}
 
@@ -100,7 +100,7 @@ def brute_components(prints):
 
     for k, (i, p) in enumerate(prints):
         for j, q in prints[:k]:
-            if (p ^ q).bit_count() <= 4:
+            if (p ^ q).bit_count() <= distance:
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return {i: find(i) for i, _ in prints}
@@ -142,3 +142,100 @@ def test_near_duplicates_of_texts_against_brute_force(spark):
     assert sorted((low if r["doc_id"] is None else r["doc_id"], r["fp"] % (1 << 64), low if r["component_id"] is None else r["component_id"]) for r in got) == sorted((i, p, want[i]) for i, p in numbered)
     kept = simhash.drop_near_duplicates(docs(spark, rows)).collect()
     assert sorted(low if r["doc_id"] is None else r["doc_id"] for r in kept) == sorted(set(want.values()))
+
+
+def plain_mix(z):
+    m = (1 << 64) - 1
+    z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & m
+    z = (z ^ z >> 27) * 0x94D049BB133111EB & m
+    return z ^ z >> 31
+
+
+def plain_shingles(text, k):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[at : at + k]) for at in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def plain_wide(text, k=5, lanes=range(4)):
+    """How many more shingles have each bit set than not."""
+    import xxhash
+
+    hashes = set()
+    for s in plain_shingles(text, k):
+        h = 0
+        for w in s:
+            h = (h * 0x9E3779B97F4A7C15 + xxhash.xxh64_intdigest(w)) % (1 << 64)
+        hashes.add(h)
+    rows = [[plain_mix(h ^ plain_mix(lane + 1)) for lane in lanes] for h in hashes]
+    return [sum(1 if r[lane] >> b & 1 else -1 for r in rows) for lane in range(len(lanes)) for b in range(64)]
+
+
+def wide_print(text, sketcher=wide_simhash.Sketcher(5)):
+    return int.from_bytes(sketcher.sketch(None if text is None else text.encode())[0], "little")
+
+
+@pytest.mark.parametrize("text", ["", None, " \n", "One", "a b c", "a b c d e", "A b C d e f", "É a\tb c  d\x0be f g é h", "x " * 70000, " ".join(f"w{k % 977}" for k in range(40000))])
+def test_wide_fingerprint(text):
+    lead = plain_wide(text)
+    assert wide_print(text) == sum(1 << b for b, n in enumerate(lead) if n > 0)
+    fp, found = wide_simhash.Sketcher(5).sketch(None if text is None else text.encode())
+    found = np.frombuffer(found, "<u2").reshape(5, 4).tolist()
+    lead = plain_wide(text, 2, range(4, 6))
+    golay = simhash.golay_index()
+    for k, own in enumerate(found if text and text.strip() else ()):
+        part = lead[23 * k : 23 * k + 23]
+        word = sum(1 << b for b, n in enumerate(part) if n > 0)
+        a, b = (1 << x for x in sorted(range(23), key=lambda x: abs(part[x]))[:2])
+        assert own == [golay[w] for w in (word, word ^ a, word ^ b, word ^ a ^ b)]
+
+
+def edited(rng, words, k):
+    out = list(words)
+    for _ in range(k):
+        at = rng.randrange(len(out))
+        how = rng.random()
+        if how < 0.6:
+            out[at] = f"new{rng.random()}"
+        elif how < 0.8:
+            out.pop(at)
+        else:
+            out.insert(at, f"new{rng.random()}")
+    return out
+
+
+def test_similar_documents_are_found_and_others_stay(spark):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(4000)]
+    rows, alike, apart = [], [], []
+    for k in range(300):
+        text = [rng.choice(words[: rng.choice((200, 4000))]) for _ in range(rng.choice((80, 300, 900)))]
+        copy = edited(rng, text, max(1, len(text) // rng.choice((50, 60, 90, 200))))
+        a, b = plain_shingles(" ".join(text), 5), plain_shingles(" ".join(copy), 5)
+        (alike if len(a & b) / len(a | b) >= 0.8 else apart).append(k)
+        rows += [(k, " ".join(text)), (1000 + k, " ".join(copy))]
+    got = {r["doc_id"]: r["component_id"] for r in wide_simhash.similar_documents(docs(spark, rows)).collect()}
+    assert len(alike) > 200
+    assert sum(got[1000 + k] == k for k in alike) >= 0.97 * len(alike)
+    assert all(got[k] == k and got[1000 + k] in (k, 1000 + k) for k in range(300))
+
+
+def test_similar_documents_against_brute_force(spark):
+    rng = random.Random(13)
+    words = [f"w{k}" for k in range(300)]
+    rows = [(None, "null id"), (0, None), (1, ""), (2, " \t"), (3, "one"), (4, "One"), (4, "one"), (5, "w1 " * 30000)]
+    base = [rng.choice(words) for _ in range(200)]
+    rows += [(10 + k, " ".join(edited(rng, base, 1))) for k in range(60)]  # a family
+    for k in range(30):
+        text = [rng.choice(words) for _ in range(rng.choice((3, 60, 400)))]
+        for c in range(3):
+            rows.append((100 + 3 * k + c, " ".join(text)))
+            text = edited(rng, text, 1)
+    got = wide_simhash.similar_documents(docs(spark, rows)).collect()
+    low = -(1 << 63)
+    numbered = [(low if i is None else i, wide_print(t)) for i, t in rows]
+    want = brute_components(sorted(set(numbered)), wide_simhash.allowed_distance())
+    assert sorted((low if r["doc_id"] is None else r["doc_id"], low if r["component_id"] is None else r["component_id"]) for r in got) == sorted((i, want[i]) for i, _ in numbered)
+    kept = wide_simhash.drop_similar(docs(spark, rows))
+    assert kept.columns == SCHEMA.replace(" long", "").replace(" string", "").replace(" boolean", "").split(", ")
+    assert sorted(low if r["doc_id"] is None else r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+    assert wide_simhash.similar_documents(docs(spark, [])).collect() == [] and wide_simhash.drop_similar(docs(spark, [])).collect() == []
