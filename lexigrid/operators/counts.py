@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrid.functions import text as tx
+from lexigrid.operators.runtime import by_number, settle
 
 
 def feature_counts(docs: DataFrame, features: Column) -> DataFrame:
@@ -19,14 +20,12 @@ def word_counts(lines: DataFrame, text_col: str = "text", min_count: int = 1) ->
     return found if min_count <= 1 else found.where(F.col("count") >= min_count)
 
 
-def dense_ids(keyed: DataFrame, key: str, order: list[Column], first: int = 0, name: str = "id") -> DataFrame:
+def dense_ids(keyed: DataFrame, order: list[Column], first: int = 0, name: str = "id") -> DataFrame:
     """keyed with a gapless bigint id in the given order, without moving all rows to one task.
 
     Rows are ordered by range; a partition's first id is the number of rows in
     the partitions before it. The driver sees one count a partition.
     """
-    from lexigrid.operators.runtime import settle
-
     ranged = settle(keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()
     base, total = {}, first
@@ -35,19 +34,19 @@ def dense_ids(keyed: DataFrame, key: str, order: list[Column], first: int = 0, n
         total += r["n"]
     if not base:
         return ranged.select(*keyed.columns, F.lit(first).cast("bigint").alias(name))
-    start = F.element_at(F.create_map(*[F.lit(x).cast("bigint") for kv in base.items() for x in kv]), F.col("_part").cast("bigint"))
-    return ranged.select(*keyed.columns, (start + F.col("_at") - F.shiftleft(F.col("_part"), 33)).cast("bigint").alias(name))
+    own = F.col("_at") - F.shiftleft(F.col("_part"), 33)
+    return ranged.select(*keyed.columns, (by_number(base, F.col("_part")) + own).cast("bigint").alias(name))
 
 
 def corpus_vocabulary(lines: DataFrame, text_col: str = "text", min_count: int = 1) -> DataFrame:
     """word, count, id: ids from 0 by falling count, equal counts by word."""
-    return dense_ids(word_counts(lines, text_col, min_count), "word", [F.desc("count"), F.asc("word")])
+    return dense_ids(word_counts(lines, text_col, min_count), [F.desc("count"), F.asc("word")])
 
 
 def feature_vocabulary(docs: DataFrame, features: Column, min_count: int = 1, order: list[Column] | None = None) -> DataFrame:
     """feature, count, id: ids from 0 in the order of the features, or another."""
     found = feature_counts(docs, features).where(F.col("count") >= min_count)
-    return dense_ids(found, "feature", order or [F.asc("feature")])
+    return dense_ids(found, order or [F.asc("feature")])
 
 
 def top_vocabulary(lines: DataFrame, num_words: int, reserved: int, text_col: str = "text") -> DataFrame:

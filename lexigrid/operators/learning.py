@@ -11,24 +11,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrid.functions import vectors as vx
+from lexigrid.operators import counts
 from lexigrid.operators.alignment import gram_matrices
-from lexigrid.operators.runtime import settle
+from lexigrid.operators.runtime import by_number, settle
 
 C_GRID = (1e-2, 1e-1, 1.0, 1e1, 1e2)
-
-
-def stratified_folds(labelled: DataFrame, folds: int, label: str = "label", order: str = "doc_id") -> DataFrame:
-    """fold 0..folds-1: each class dealt round in the order of `order`, so a fold's share of a class is even to one row."""
-    salted = labelled.withColumn("_s", F.pmod(F.xxhash64(order), F.lit(64)))
-    w = Window.partitionBy(label, "_s").orderBy(order)
-    # row numbers within 64 slices of a class, so that no task holds a class; slices start at shifted folds
-    return salted.withColumn("fold", F.pmod(F.row_number().over(w) - 1 + F.col("_s"), F.lit(folds)).cast("int")).drop("_s")
+CENTERS_AT_ONCE = 5000
 
 
 def exact_folds(labelled: DataFrame, folds: int, label: str = "label", order: str = "doc_id") -> DataFrame:
-    """fold 0..folds-1 by each row's number in its class: fold sizes of a class differ by one row at most."""
-    w = Window.partitionBy(label).orderBy(order)
-    return labelled.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(folds)).cast("int"))
+    """fold 0..folds-1 by each row's number in its class: fold sizes of a class differ by one row at most.
+
+    Rows are numbered by ranges of class and order, so a class of any size is
+    spread over tasks; a row's number in its class is that less its class's first.
+    """
+    rows = counts.dense_ids(labelled, [F.col(label).asc(), F.col(order).asc()], name="_row")
+    first = rows.groupBy(F.col(label).alias("_class")).agg(F.min("_row").alias("_first"))
+    fold = F.pmod(F.col("_row") - F.col("_first"), F.lit(folds)).cast("int")
+    return rows.join(first, F.col(label).eqNullSafe(F.col("_class"))).select(*labelled.columns, fold.alias("fold"))
 
 
 # scores
@@ -44,13 +44,24 @@ def f1(predicted: DataFrame, pred: str = "prediction", label: str = "label", pos
     return predicted.agg((100.0 * 2 * tp / (2 * tp + wrong)).alias("f1"))
 
 
+def _mean_ranks(values: DataFrame, c: str) -> DataFrame:
+    """c, rank: for each distinct value the mean rank of the rows that have it. Ranges of values are summed apart."""
+    counted = settle(values.groupBy(c).agg(F.count(F.lit(1)).alias("n")).repartitionByRange(c).withColumn("_part", F.spark_partition_id()))
+    base, total = {}, 0
+    for r in sorted(counted.groupBy("_part").agg(F.sum("n").alias("n")).collect(), key=lambda r: r["_part"]):
+        base[r["_part"]] = total
+        total += r["n"]
+    if not base:
+        return counted.select(c, F.lit(0.0).alias("rank"))
+    upto = F.sum("n").over(Window.partitionBy("_part").orderBy(c)) + by_number(base, F.col("_part"))
+    return counted.select(c, (upto - (F.col("n") - 1) / 2.0).alias("rank"))
+
+
 def correlations(frame: DataFrame, x: str, y: str) -> DataFrame:
     """One row: pearson and spearman, times 100. Ranks of ties are their mean."""
-    ranked = frame.select(x, y)
+    ranked = settle(frame.select(x, y))
     for c in (x, y):
-        counted = frame.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        w = Window.orderBy(c)  # over distinct values
-        ranks = counted.withColumn("r", F.sum("n").over(w) - (F.col("n") - 1) / 2.0).select(F.col(c).alias(f"_{c}"), F.col("r").alias(f"rank_{c}"))
+        ranks = _mean_ranks(ranked.select(c), c).select(F.col(c).alias(f"_{c}"), F.col("rank").alias(f"rank_{c}"))
         ranked = ranked.join(ranks, F.col(c) == F.col(f"_{c}"))
     return ranked.agg((F.corr(x, y) * 100).alias("pearson"), (F.corr(f"rank_{x}", f"rank_{y}") * 100).alias("spearman"))
 
@@ -65,10 +76,21 @@ def centroids(labelled: DataFrame, vec: str = "vec", label: str = "label") -> Da
 
 
 def nearest_centroid(frame: DataFrame, centers: DataFrame, key: str, vec: str = "vec", label: str = "label") -> DataFrame:
-    """key, prediction: the label of the nearest centroid, the least label among equals. One row a class is broadcast."""
-    named = F.broadcast(centers.select(F.col(label).alias("_label"), "centroid"))
+    """key, prediction: the label of the nearest centroid, the least label among equals.
+
+    At most CENTERS_AT_ONCE centroids are broadcast; more of them go in turns,
+    whose best are compared.
+    """
+    turns = -(-centers.count() // CENTERS_AT_ONCE)
+    turn = F.pmod(F.xxhash64(label), F.lit(max(1, turns)))
     far = F.aggregate(F.zip_with(vx.doubles(F.col(vec)), F.col("centroid"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
-    return frame.crossJoin(named).groupBy(key).agg(F.min_by("_label", F.struct(F.round(far, 9), "_label")).alias("prediction"))
+    best = F.min(F.struct(F.round(far, 9).alias("d"), "_label")).alias("best")
+    out = None
+    for k in range(max(1, turns)):
+        named = F.broadcast(centers.where(turn == k).select(F.col(label).alias("_label"), "centroid"))
+        own = frame.crossJoin(named).groupBy(key).agg(best)
+        out = own if out is None else out.unionByName(own)
+    return out.groupBy(key).agg(F.min("best")["_label"].alias("prediction")) if turns > 1 else out.select(key, F.col("best._label").alias("prediction"))
 
 
 # ridge regression

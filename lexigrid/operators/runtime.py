@@ -1,10 +1,14 @@
-"""Cutting lineage where a plan would otherwise be computed again."""
+"""Cutting lineage, checked broadcasts and numbers a partition."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: A side of a join is broadcast only if it has no more rows and bytes of keys than these.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -19,3 +23,15 @@ def settle(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="lexigrid-checkpoint-")
         sc.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, key: str) -> DataFrame:
+    """df, marked for broadcast if counting shows that it is small; else as it is, and the join shuffles. df is computed once more, so settle it first."""
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(key)), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if size["n"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES else df
+
+
+def by_number(values: dict[int, int], number: Column) -> Column:
+    """The value of a small whole number (a partition's, say), looked up in one constant array."""
+    listed = ",".join(str(values.get(k, 0)) for k in range(max(values) + 1))
+    return F.element_at(F.split(F.lit(listed), ",").cast("array<bigint>"), number.cast("int") + 1)

@@ -58,7 +58,7 @@ def truncate(tokens: Column, length: int = 30) -> Column:
 
 def padded_batches(encoded: DataFrame, order: list[Column], batch_size: int = 128) -> DataFrame:
     """encoded (ids) with batch, ids padded with 0 to the longest of the batch, and a 0/1 mask."""
-    placed = counts.dense_ids(encoded, "ids", order, name="row_id").withColumn("batch", F.expr(f"row_id div {batch_size}"))
+    placed = counts.dense_ids(encoded, order, name="row_id").withColumn("batch", F.expr(f"row_id div {batch_size}"))
     longest = F.max(F.size("ids")).over(Window.partitionBy("batch"))
     sized = placed.withColumn("longest", longest)
     return sized.withColumns({"mask": tx.mask(F.col("ids"), F.col("longest")), "ids": tx.pad(F.col("ids"), F.col("longest"))}).drop("longest")
@@ -83,10 +83,21 @@ def shard_name(split: str, shard: int, shards: int) -> str:
 
 def permuted_split(frame: DataFrame, key: str, held_out: int, seed: int = 123) -> DataFrame:
     """frame with split: the held_out rows that come first in a seeded order are 'validation', the rest 'train'."""
-    ordered = counts.dense_ids(frame, key, [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)], name="row_id")
+    ordered = counts.dense_ids(frame, [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)], name="row_id")
     return ordered.withColumn("split", F.when(F.col("row_id") < held_out, "validation").otherwise("train"))
 
 
+def head_tail_split(frame: DataFrame, order: list[Column], head: int, names: tuple[str, str] = ("validation", "train")) -> DataFrame:
+    """frame with split: the first `head` rows in the given order have the first name, the rest the second."""
+    ordered = counts.dense_ids(frame, order, name="row_id")
+    return ordered.withColumn("split", F.when(F.col("row_id") < head, names[0]).otherwise(names[1])).drop("row_id")
+
+
+def first_sentences(frame: DataFrame, order: list[Column], most: int) -> DataFrame:
+    """The first `most` rows in the given order."""
+    return counts.dense_ids(frame, order, name="row_id").where(F.col("row_id") < most).drop("row_id")
+
+
 def context_scores(batch: DataFrame, context: int = 1, left: str = "left_vec", right: str = "right_vec", group: str = "batch", place: str = "pos") -> DataFrame:
     """batch, p, q, score, target: all pairs of rows of a batch, as the contrastive objective defines them.
 

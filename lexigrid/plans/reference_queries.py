@@ -417,6 +417,109 @@ def length_quality_correlation(spark, sf_dir):
     return learning.correlations(rows, "x", "y").select(F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"))
 
 
+@query(
+    f"""with {_vocab_sql(1, "benchmark").replace("vocab as", "bench as")}, {_VECTORS},
+    unit as (select word, [x / sqrt(list_dot_product(vec, vec)) for x in vec] as vec from wordvec)
+    select id, unnest(range(64))::int as dim, round(unnest(coalesce(vec, list_resize([0.0::double], 64, 0.0::double))), 9) + 0.0 as x from bench left join unit using (word)"""
+)
+def vocabulary_matrix(spark, sf_dir):
+    bench = counts.corpus_vocabulary(table(spark, sf_dir, "benchmark").select("text"))
+    return doc_vectors.long_form(doc_vectors.vocabulary_matrix(bench, _word_vectors(spark, sf_dir), DIM), "id", decimals=9)
+
+
+@query(
+    f"""with {_VECTORS}, {_vocab_sql(1, "benchmark").replace("vocab as", "bench as")},
+    pair as (select s.vec as x, embedding::double[] as y from bench join wordvec s using (word) join embeddings on id = vec_id)
+    select round(avg(list_dot_product(x, y) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y)))), 9) + 0.0 as cosine from pair"""
+)
+def mean_cosine(spark, sf_dir):
+    bench = counts.corpus_vocabulary(table(spark, sf_dir, "benchmark").select("text"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), vx.doubles(F.col("embedding")).alias("vec"))
+    pairs = doc_vectors.shared_vocabulary(_word_vectors(spark, sf_dir), bench.join(vectors, "id").select("word", "vec"))
+    return doc_vectors.average_cosine(pairs).select(F.round("cosine", 9).alias("cosine"))
+
+
+@query(
+    f"""with {_cooc_sql(100)}, {_RANKED}, own as (select vocab.id, embedding::double[] as vec from vocab join ranked using (word) join embeddings on ranked.id = vec_id),
+    halves as (select i, j, x from cooc union all select j, i, x from cooc where i < j),
+    total as (select i, sum(x) as total from halves group by i),
+    s as (select i, unnest(range(64)) as dim, unnest(vec) * x as x from halves join own on j = id)
+    select i, dim::int as dim, round(sum(x) / any_value(total), 6) + 0.0 as x from s join total using (i) group by i, dim"""
+)
+def context_vectors(spark, sf_dir):
+    vocabulary = settle(_vocabulary(spark, sf_dir, 100))
+    vectors = settle(_word_vectors(spark, sf_dir).join(vocabulary.select("word", "id"), "word").select("id", "vec"))
+    found = settle(cooc.cooccurrence(_docs(spark, sf_dir), vocabulary))
+    return doc_vectors.long_form(alignment.context_vectors(found, vectors), "i", decimals=6)
+
+
+_STRIPPED = f"regexp_replace(coalesce(text, ''), '^[{tx.WS}]+|[{tx.WS}]+$', '', 'g')"
+_PLAIN = _STRIPPED
+for _code, _sign in tx.UNESCAPES.items():
+    _PLAIN = f"replace({_PLAIN}, '{_code}', '{_sign}')"
+
+
+@query(
+    rf"""select conv_id, turn, regexp_replace(regexp_replace(lower({_PLAIN}), '((www\.[^ \t\n\r]+)|(https?://[^ \t\n\r]+)|(http?://[^ \t\n\r]+))', '<url>', 'g'), '(@[^ \t\n\r]+)', '<user>', 'g') as text from conversations"""
+)
+def normalized_sentences(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.normalize_sentence(F.coalesce("text", F.lit(""))).alias("text"))
+
+
+@query(
+    f"""with {_vocab_sql(1, "conversations")}, known as (select word, id + 2 as id from vocab where id < 998),
+    own as (select conv_id, turn, {_WORDS} as t from conversations),
+    tok as (select conv_id, turn, unnest(t) as word, unnest(range(len(t))) as p from own),
+    enc as (select conv_id, turn, list_append(coalesce(ids, []), 0) as ids from own left join (select conv_id, turn, list(coalesce(id, 1) order by p) as ids from tok left join known using (word) group by conv_id, turn) using (conv_id, turn)),
+    placed as (select *, (row_number() over (order by conv_id, turn) - 1) // 128 as batch from enc),
+    sized as (select *, max(len(ids)) over (partition by batch) as longest from placed)
+    select conv_id, turn, batch::bigint as batch, array_to_string(list_resize(ids, longest, 0), ' ') as ids, array_to_string(list_resize([1 for x in ids], longest, 0), ' ') as mask from sized"""
+)
+def padded_batches(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    known = counts.top_vocabulary(rows, 1000, reserved=2)
+    encoded = sentences.encode(rows, ["conv_id", "turn"], tx.split_words(F.col("text")), known, eos=sentences.EOS)
+    out = sentences.padded_batches(encoded, [F.asc("conv_id"), F.asc("turn")], 128)
+    flat = lambda c: F.array_join(F.col(c).cast("array<string>"), " ").alias(c)
+    return out.select("conv_id", "turn", "batch", flat("ids"), flat("mask"))
+
+
+@query(
+    """with placed as (select conv_id, turn, row_number() over (order by conv_id, turn) - 1 as r, count(*) over () as n from conversations)
+    select conv_id, turn, (select max(k) from range(10) t(k) where (n * k) // 10 <= r)::int as shard from placed"""
+)
+def shard_numbers(spark, sf_dir):
+    rows = counts.dense_ids(table(spark, sf_dir, "conversations").select("conv_id", "turn"), [F.asc("conv_id"), F.asc("turn")], name="row_id")
+    return sentences.with_shards(rows, rows.count(), 10).drop("row_id")
+
+
+@query("select conv_id, turn, case when row_number() over (order by conv_id, turn) <= 100 then 'validation' else 'train' end as split from conversations")
+def head_tail_split(spark, sf_dir):
+    return sentences.head_tail_split(table(spark, sf_dir, "conversations").select("conv_id", "turn"), [F.asc("conv_id"), F.asc("turn")], 100)
+
+
+@query(
+    """with b as (select vec_id // 50 as batch, vec_id % 50 as pos, embedding::double[] as v from embeddings),
+    s as (select l.batch, l.pos as p, r.pos as q, case when l.pos = r.pos then 0 else list_dot_product(l.v, r.v) end as score from b l join b r using (batch)),
+    best as (select batch, p, arg_max(q, (score, -q)) as best, max(q) as last from s group by batch, p)
+    select round(avg(case when p < last then (best = p + 1)::int::double end), 9) as forward, round(avg(case when p > 0 then (best = p - 1)::int::double end), 9) as backward from best"""
+)
+def retrieval_accuracy(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 50").alias("batch"), (F.col("vec_id") % 50).alias("pos"), F.col("embedding").alias("left_vec"), F.col("embedding").alias("right_vec"))
+    return sentences.retrieval_accuracy(sentences.context_scores(rows)).select(F.round("forward", 9).alias("forward"), F.round("backward", 9).alias("backward"))
+
+
+@query(
+    """with r as (select (n_chars > 2000)::int as p, quality as y from documents join labels using (doc_id)),
+    k as (select count(*) filter (where p = y) as hit, count(*) as n, count(*) filter (where p = 1 and y = 1) as tp, count(*) filter (where (p = 1) <> (y = 1)) as wrong from r)
+    select round(100.0::double * hit / n, 9) as accuracy, round(200.0::double * tp / (2 * tp + wrong), 9) as f1 from k"""
+)
+def accuracy_and_f1(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") > 2000).cast("int").alias("prediction")).join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    both = learning.accuracy(rows).crossJoin(learning.f1(rows))  # one row each
+    return both.select(F.round("accuracy", 9).alias("accuracy"), F.round("f1", 9).alias("f1"))
+
+
 # fitted models: no SQL
 
 

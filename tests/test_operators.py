@@ -222,6 +222,8 @@ def test_sentences(spark):
     encoded = spark.createDataFrame([(k, list(range(1, k + 2))) for k in range(5)], "k long, ids array<bigint>")
     padded = sentences.padded_batches(encoded, [F.asc("k")], 2).collect()
     assert all(len(r["ids"]) == len(r["mask"]) == {0: 2, 1: 4, 2: 5}[r["batch"]] and sum(r["mask"]) == r["k"] + 1 for r in padded)
+    assert Counter(r["split"] for r in sentences.head_tail_split(rows, [F.asc("line_no")], 3).collect()) == {"validation": 3, "train": 6}
+    assert [r["line_no"] for r in sentences.first_sentences(rows, [F.asc("line_no")], 2).orderBy("line_no").collect()] == [0, 1]
     batch = spark.createDataFrame([(0, k, v, v) for k, v in enumerate(([1.0, 0.0], [0.9, 0.1], [0.0, 1.0]))], "batch long, pos long, left_vec array<double>, right_vec array<double>")
     scores = {(r["p"], r["q"]): (round(r["score"], 6), r["target"]) for r in sentences.context_scores(batch).collect()}
     assert scores[0, 0] == (0.0, False) and scores[0, 1] == (0.9, True) and scores[0, 2] == (0.0, False)
@@ -229,13 +231,19 @@ def test_sentences(spark):
     assert tuple(sentences.retrieval_accuracy(sentences.context_scores(batch)).first()) == (0.5, 1.0)
 
 
-def test_scores_folds_and_ridge(spark):
+def test_scores_folds_and_ridge(spark, monkeypatch):
     rows = spark.createDataFrame([(k, "x" if k % 3 else "y") for k in range(31)], "doc_id long, label string")
     for f in (learning.exact_folds,):
         sizes = Counter((r["label"], r["fold"]) for r in f(rows, 4).collect())
         for c in "xy":
             own = [sizes[c, k] for k in range(4)]
             assert max(own) - min(own) <= 1
+    assert learning.exact_folds(rows.limit(0), 4).collect() == []
+    many = spark.createDataFrame([(k, [float(k)]) for k in range(50)], "label int, centroid array<double>")
+    near = spark.createDataFrame([(k, [k + 0.3]) for k in range(49)] + [(60, [7.5])], "doc_id int, vec array<double>")
+    for at_once in (5000, 7):
+        monkeypatch.setattr(learning, "CENTERS_AT_ONCE", at_once)
+        assert {r["doc_id"]: r["prediction"] for r in learning.nearest_centroid(near, many, "doc_id").collect()} == {k: k for k in range(49)} | {60: 7}
     xs, ys = [1.0, 2.0, 2.0, 5.0, 4.0], [3.0, 1.0, 4.0, 9.0, 9.0]
     got = learning.correlations(spark.createDataFrame(list(zip(xs, ys)), "x double, y double"), "x", "y").first()
     rank = lambda v: [sum(b < a for b in v) + (sum(b == a for b in v) + 1) / 2 for a in v]

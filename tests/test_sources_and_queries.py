@@ -81,7 +81,7 @@ def test_streamed_counts(spark, tmp_path):
         q.stop()
 
 
-FAST = ["tokenize_counts", "vocab_ranked", "vocab_topn_ids", "feature_vocab", "cooc_weighted", "cooc_nonzeros", "bonc_2", "bof_weighted", "doc_sif", "pair_cosine", "sentence_triples", "sentence_stats", "sentence_ids_truncated", "centroid_predict", "mask_urls", "stratified_folds"]
+FAST = ["tokenize_counts", "vocab_ranked", "vocab_topn_ids", "feature_vocab", "cooc_weighted", "cooc_nonzeros", "bonc_2", "bof_weighted", "doc_sif", "pair_cosine", "sentence_triples", "sentence_stats", "sentence_ids_truncated", "centroid_predict", "mask_urls", "stratified_folds", "vocabulary_matrix", "mean_cosine", "context_vectors", "normalized_sentences", "padded_batches", "shard_numbers", "head_tail_split", "retrieval_accuracy", "accuracy_and_f1", "length_quality_correlation"]
 
 
 @pytest.mark.parametrize("name", FAST)
@@ -99,3 +99,17 @@ def test_query_against_its_sql(spark, name):
     assert sorted(names) == cols
     want = sorted(repr([row[names.index(c)] for c in cols]) for row in cur.fetchall())
     assert sorted(repr([r[c] for c in cols]) for r in got.collect()) == want
+
+
+def test_command_line(spark, tmp_path):
+    from lexigrid import __main__ as cli
+
+    write(tmp_path / "corpus.txt", "a b a c\nb a\n\nc c d\n" * 5)
+    at = lambda n: str(tmp_path / n)
+    args = cli.parser().parse_args(["thru-glove", at("vocab"), "-i", at("corpus.txt"), "-c", at("cooc.parquet"), "-o", at("vectors.parquet"), "-d", "3", "-n", "2", "-m", "5"])
+    assert cli.steps("thru-cooc") == ["vocab", "cooc"] and cli.steps("sn") == ["sn"]
+    cli.run(spark, args)
+    assert [r["value"] for r in spark.read.text(at("vocab")).collect()] == ["a 15", "c 15", "b 10", "d 5"]
+    assert spark.read.parquet(at("cooc.parquet")).where("i > j").isEmpty()
+    got = {r["word"]: r["vec"] for r in spark.read.parquet(at("vectors.parquet")).collect()}
+    assert set(got) == set("abcd") and all(len(v) == 3 for v in got.values())
