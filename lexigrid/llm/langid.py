@@ -23,7 +23,7 @@ BUCKETS = 1 << 15
 DIM = 16
 TRAIN_ROWS = 2000
 UNDETERMINED = "und"
-_GROUP_CHARS = 1_000_000
+_GROUP_CHARS = 250_000
 _BLANK = "    "
 
 

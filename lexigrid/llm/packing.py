@@ -118,6 +118,10 @@ class WordBpe:
         self.words: dict[str, bytes] = {}
         self.runs: dict[bytes, bytes] = {}
 
+    def forget(self) -> None:
+        """Drop what was kept; a Python worker lives on after its task."""
+        self.words, self.runs = {}, {}
+
     def _word(self, word: str) -> bytes:
         import numpy as np
 
@@ -178,11 +182,12 @@ def tokenize_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     for held, x in zip(out, (ident, at // 4, len(part) // 4, len(ids) // 4, part)):
                         held.append(x)
                 size += len(ids)
-                if size > 32_000_000:
+                if size > 8_000_000:
                     yield full()
                     out, size = ([], [], [], [], []), 0
             if out[0]:
                 yield full()
+        bpe.forget()
 
     return df.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("binary").alias("text")).mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, ids binary")
 
@@ -224,7 +229,7 @@ def pack_pieces(pieces: DataFrame, window: int = WINDOW, shard_rows: int = SHARD
             total = [used[w] for w, _ in put]
             for name, values in (("sequence_id", [(s << 32) + w for w, _ in put]), ("offset", [o for _, o in put]), ("sequence_tokens", total), ("padded_tokens", [u if u & (u - 1) == 0 else window for u in total])):
                 held = held.append_column(name, pa.array(values, type=pa.int64()))
-            yield from held.to_batches(max_chunksize=4096)
+            yield from held.to_batches(max_chunksize=1024)
 
     added = [T.StructField(c, T.LongType()) for c in ("sequence_id", "offset", "sequence_tokens", "padded_tokens")]
     shard = F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)).cast("int")

@@ -35,7 +35,7 @@ WEAK = 2
 SEARCH_SHINGLE = 2
 SHINGLE = 5
 SIMILARITY = 0.8
-_KEEP = 400_000
+_KEEP = 200_000
 #: Pairs of segments.
 _LEFT, _RIGHT = np.triu_indices(SEGMENTS, 1)
 
