@@ -1,18 +1,22 @@
-"""Near-duplicates by similarity: wide SimHash fingerprints, found by keys of decoded Golay segments.
+"""Near-duplicates by similarity: wide SimHash fingerprints, found by keys of decoded Golay segments, verified on shingles.
 
 Four bits of 64, which simhash.py searches exactly, are a Jaccard similarity of
 about 0.97. At 0.8, shingle sets as different as that give SimHash bits that
 differ in one place of seven, too many for one pigeonhole argument. So
 
-* the fingerprint that is compared has 256 bits, of the set of a text's shingles;
-  texts link if it differs in no more bits than allowed_distance() gives;
+* the fingerprint that is compared first has 256 bits, of the set of a text's
+  shingles; pairs within allowed_distance() bits are candidates;
 * the one that is searched by is of its set of word pairs, which edits change
   less. It has SEGMENTS segments of 23 bits. Of each, the bits with the narrowest
   majority are the likeliest to differ; the segment and what flipping WEAK of them
   gives are decoded to indices of the Golay code's nearest codewords. A key is a
-  pair of segments with an index of each; texts that share one are compared.
+  pair of segments with an index of each; texts that share one are compared;
+* candidates are joined with their shingle sets, and the Jaccard similarity of
+  the sets decides.
 
-Links are spanning forests of each key's texts, never all pairs of a group.
+Of a key with up to ALL_PAIRS texts every pair in reach is a candidate. Of larger
+ones it is a spanning forest and, block by block, the tree of least distances,
+whose edges are the pairs most alike; never all pairs of a large group.
 Whether two texts meet is a matter of chance: of texts edited to a similarity of
 0.8, 97 in 100 share a key, and more above (tests/llm measures it).
 """
@@ -35,13 +39,15 @@ WEAK = 2
 SEARCH_SHINGLE = 2
 SHINGLE = 5
 SIMILARITY = 0.8
+ALL_PAIRS = 64
+TREE_BLOCK = 4096
 _KEEP = 200_000
 #: Pairs of segments.
 _LEFT, _RIGHT = np.triu_indices(SEGMENTS, 1)
 
 
-def allowed_distance(similarity: float = SIMILARITY, bits: int = 64 * LANES, spread: float = 1.3) -> int:
-    """Bits that may differ: the mean for sets of that Jaccard similarity and equal size, and `spread` standard deviations."""
+def allowed_distance(similarity: float = SIMILARITY, bits: int = 64 * LANES, spread: float = 2.3) -> int:
+    """Bits by which candidates may differ: the mean for sets of that Jaccard similarity and equal size, and `spread` standard deviations."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     return int(bits * p + spread * math.sqrt(bits * p * (1 - p)))
 
@@ -96,13 +102,21 @@ class Sketcher:
         own = self.known[word] = xxhash.xxh64_intdigest(word)
         return own
 
+    def _hashes(self, words: list[bytes]) -> np.ndarray:
+        known = self.known
+        return np.array([known.get(w) or self._hash(w) for w in words], dtype=np.uint64)
+
+    def shingles(self, raw: bytes | None) -> np.ndarray:
+        """Distinct hashes of a text's shingles, sorted; none without words."""
+        words = (raw or b"").lower().split()
+        return shingle_set(self._hashes(words), self.shingle) if words else np.zeros(0, dtype=np.uint64)
+
     def sketch(self, raw: bytes | None) -> tuple[bytes, bytes]:
         """(fingerprint of 8 * LANES bytes, SEGMENTS * 2^WEAK indices of 16 bits). Without words all are zero."""
         words = (raw or b"").lower().split()
         if not words:
             return bytes(8 * LANES), bytes(2 * SEGMENTS << WEAK)
-        known = self.known
-        hashed = np.array([known.get(w) or self._hash(w) for w in words], dtype=np.uint64)
+        hashed = self._hashes(words)
         fp = np.packbits(majorities(shingle_set(hashed, self.shingle), range(LANES)) > 0, bitorder="little").tobytes()
         lead = majorities(shingle_set(hashed, SEARCH_SHINGLE), range(LANES, LANES + -(-SEGMENTS * SEGMENT_BITS // 64)))
         lead = lead[: SEGMENTS * SEGMENT_BITS].reshape(SEGMENTS, SEGMENT_BITS)
@@ -140,6 +154,35 @@ def forest(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return out
 
 
+def least_tree(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """The edges up to `distance` of a tree of least total distance (Prim, 1957)."""
+    best = np.bitwise_count(prints ^ prints[0]).sum(axis=1, dtype=np.int64)
+    via, far, out = np.zeros(len(prints), dtype=np.int64), 64 * LANES + 1, []
+    done = np.zeros(len(prints), dtype=bool)
+    done[0], best[0] = True, far
+    for _ in range(len(prints) - 1):
+        at = int(best.argmin())
+        if best[at] <= distance:
+            out.append((int(via[at]), at))
+        done[at] = True
+        own = np.bitwise_count(prints ^ prints[at]).sum(axis=1, dtype=np.int64)
+        nearer = (own < best) & ~done
+        best[nearer], via[nearer] = own[nearer], at
+        best[at] = far
+    return out
+
+
+def candidates(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Pairs of rows up to `distance` apart: all of a small group; of a larger one a spanning forest and each block's tree of least distances."""
+    if len(prints) <= ALL_PAIRS:
+        near = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2, dtype=np.int64) <= distance
+        return list(zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1)))))
+    out = forest(prints, distance)
+    for at in range(0, len(prints), TREE_BLOCK):
+        out += [(at + a, at + b) for a, b in least_tree(prints[at : at + TREE_BLOCK], distance)]
+    return out
+
+
 def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """doc_id long, fp binary, indices binary, one row for each row of df."""
 
@@ -154,8 +197,8 @@ def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
     return df.select(col(id_col).cast("long"), col(text_col).cast("binary")).mapInArrow(run, "doc_id long, fp binary, indices binary")
 
 
-def similar_links(distinct: DataFrame, distance: int) -> DataFrame:
-    """Links (a, b) among distinct fingerprints (fp, indices): a spanning forest of those found by each key."""
+def similar_pairs(distinct: DataFrame, distance: int) -> DataFrame:
+    """Candidates (a, b), a below b, among distinct fingerprints (fp, indices): candidates() of each key, some more than once."""
 
     def emit(batches):
         import pyarrow as pa
@@ -182,10 +225,11 @@ def similar_links(distinct: DataFrame, distance: int) -> DataFrame:
             size = np.diff(cut)
             two = cut[:-1][size == 2]
             near = np.bitwise_count(prints[two] ^ prints[two + 1]).sum(axis=1, dtype=np.int64) <= distance
-            found.update((prints[k].tobytes(), prints[k + 1].tobytes()) for k in two[near].tolist())
+            pairs = [(k, k + 1) for k in two[near].tolist()]
             for k in np.nonzero(size > 2)[0].tolist():
-                own = prints[cut[k] : cut[k + 1]]
-                found.update((own[a].tobytes(), own[b].tobytes()) for a, b in forest(own, distance))
+                pairs += [(cut[k] + a, cut[k] + b) for a, b in candidates(prints[cut[k] : cut[k + 1]], distance)]
+            both = ((prints[a].tobytes(), prints[b].tobytes()) for a, b in pairs)
+            found.update((a, b) if a < b else (b, a) for a, b in both)
 
         for batch in batches:
             if not batch.num_rows:
@@ -208,20 +252,55 @@ def similar_links(distinct: DataFrame, distance: int) -> DataFrame:
     return keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(meet, "a binary, b binary")
 
 
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets (fp, shingles) are alike by `similarity` or more."""
+
+    def judge(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared + 1e-9 >= similarity * (len(x) + len(y) - shared))
+            yield batch.select(["a", "b"]).filter(np.array(keep, dtype=bool))
+
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(judge, "a binary, b binary")
+
+
+def shingle_sets(df: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """fp binary, shingles binary (sorted 64-bit hashes), one row for each fingerprint of df."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        sketcher = Sketcher(shingle)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            yield pa.record_batch([pa.array([sketcher.sketch(t)[0] for t in texts], type=pa.binary()), pa.array([sketcher.shingles(t).tobytes() for t in texts], type=pa.binary())], names=["fp", "shingles"])
+
+    found = df.select(col(text_col).cast("binary")).mapInArrow(run, "fp binary, shingles binary")
+    return found.groupBy("fp").agg(F.min("shingles").alias("shingles"))
+
+
 def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row for each row of df: doc_id, fp binary, component_id (the least identifier that links lead to).
 
-    Texts link if their sets of `shingle`-word runs, A-Z lower-cased, are alike
-    by `similarity` (Jaccard) or more, as far as 256 SimHash bits tell. Texts
-    with equal sets always link; those without words, null ones included, have
-    equal sets. A null identifier counts as the lowest long while components are
-    formed, and component_id is null where it is the least. Repeated rows each
-    get a row. Other columns are not read. An empty table gives no rows.
+    Texts link if their sets of `shingle`-word runs, A-Z lower-cased, have a
+    Jaccard similarity of `similarity` or more. Texts with equal sets always
+    link; those without words, null ones included, have equal sets. A null
+    identifier counts as the lowest long while components are formed, and
+    component_id is null where it is the least. Repeated rows each get a row.
+    Other columns are not read. An empty table gives no rows.
     """
+    lowest = F.lit(LOWEST)
     prints = settle(sketches(df, id_col, text_col, shingle))
-    distinct = settle(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(LOWEST))).alias("first_id"), F.min("indices").alias("indices")))
-    links = similar_links(distinct, allowed_distance(similarity))
-    return label_members(prints.select("doc_id", "fp"), distinct.select("fp", "first_id"), settle(components(links)))
+    distinct = settle(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", lowest)).alias("first_id"), F.min("indices").alias("indices")))
+    pairs = settle(similar_pairs(distinct, allowed_distance(similarity)).distinct())
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct, "fp").select(F.col("first_id").alias("_first")).distinct()
+    texts = df.select(F.coalesce(col(id_col).cast("long"), lowest).alias("_id"), col(text_col).alias("_text"))
+    sets = settle(shingle_sets(texts.join(nodes, F.col("_id") == F.col("_first"), "left_semi"), "_text", shingle))
+    return label_members(prints.select("doc_id", "fp"), distinct.select("fp", "first_id"), settle(components(verified(pairs, sets, similarity))))
 
 
 def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexigrid.llm import chat, langid, packing, secrets, wide_simhash
-from test_dedup import brute_components, wide_print
+from lexigrid.llm import chat, langid, packing, secrets
+from test_dedup import alike_components
 from test_text_operators import plain_spans
 
 MESSAGES = "tree long, id long, parent long, role string, text string, score double, formatted string"
@@ -87,7 +87,7 @@ def plain_pipeline(rows, model):
     for r in kept:
         last[r["text"]] = max(last.get(r["text"], -1), r["doc_id"])
     kept = {i: t for t, i in last.items()}
-    roots = brute_components(sorted((i, wide_print(t)) for i, t in kept.items()), wide_simhash.allowed_distance())
+    roots = alike_components(sorted(kept.items()))
     kept = {i: t for i, t in kept.items() if roots[i] == i}
     ratio = secrets.default_model()
     for i, text in kept.items():

@@ -189,6 +189,24 @@ def test_wide_fingerprint(text):
         assert own == [golay[w] for w in (word, word ^ a, word ^ b, word ^ a ^ b)]
 
 
+def alike_components(texts):
+    """texts: (id, text) -> id -> least id reachable over shingle sets alike by 0.8 or more."""
+    sets = [(i, plain_shingles(t, 5)) for i, t in texts]
+    root = {i: i for i, _ in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, (i, x) in enumerate(sets):
+        for j, y in sets[:k]:
+            if 10 * len(x & y) >= 8 * len(x | y):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i, _ in sets}
+
+
 def edited(rng, words, k):
     out = list(words)
     for _ in range(k):
@@ -209,14 +227,30 @@ def test_similar_documents_are_found_and_others_stay(spark):
     rows, alike, apart = [], [], []
     for k in range(300):
         text = [rng.choice(words[: rng.choice((200, 4000))]) for _ in range(rng.choice((80, 300, 900)))]
-        copy = edited(rng, text, max(1, len(text) // rng.choice((50, 60, 90, 200))))
+        copy = edited(rng, text, max(1, len(text) // rng.choice((30, 50, 60, 90, 200))))
         a, b = plain_shingles(" ".join(text), 5), plain_shingles(" ".join(copy), 5)
         (alike if len(a & b) / len(a | b) >= 0.8 else apart).append(k)
         rows += [(k, " ".join(text)), (1000 + k, " ".join(copy))]
     got = {r["doc_id"]: r["component_id"] for r in wide_simhash.similar_documents(docs(spark, rows)).collect()}
-    assert len(alike) > 200
+    assert len(alike) > 200 and len(apart) > 5
     assert sum(got[1000 + k] == k for k in alike) >= 0.97 * len(alike)
-    assert all(got[k] == k and got[1000 + k] in (k, 1000 + k) for k in range(300))
+    assert all(got[k] == k and got[1000 + k] in (k, 1000 + k) for k in range(300)) and all(got[1000 + k] == 1000 + k for k in apart)
+
+
+def test_candidates_of_large_groups_keep_what_is_in_reach_together():
+    rng = np.random.default_rng(14)
+    base = rng.integers(0, 1 << 63, (4, 4), dtype=np.uint64)
+    prints = base[rng.integers(0, 4, 500)] ^ np.uint64(1) << rng.integers(0, 64, (500, 4), dtype=np.uint64)
+    whole = [int.from_bytes(p.tobytes(), "little") for p in prints]
+    for n in (40, 500):
+        for reach in (3, 6, 60):
+            want = brute_components(list(enumerate(whole[:n])), reach)
+            root = list(range(n))
+            find = lambda i: i if root[i] == i else find(root[i])  # noqa: E731, B023
+            for a, b in wide_simhash.candidates(prints[:n], 60):
+                if (whole[a] ^ whole[b]).bit_count() <= reach:
+                    root[max(find(a), find(b))] = min(find(a), find(b))
+            assert {i: find(i) for i in range(n)} == want
 
 
 def test_similar_documents_against_brute_force(spark):
@@ -232,8 +266,8 @@ def test_similar_documents_against_brute_force(spark):
             text = edited(rng, text, 1)
     got = wide_simhash.similar_documents(docs(spark, rows)).collect()
     low = -(1 << 63)
-    numbered = [(low if i is None else i, wide_print(t)) for i, t in rows]
-    want = brute_components(sorted(set(numbered)), wide_simhash.allowed_distance())
+    numbered = [(low if i is None else i, t) for i, t in rows]
+    want = alike_components(sorted(set(numbered), key=lambda r: (r[0], r[1] or "")))
     assert sorted((low if r["doc_id"] is None else r["doc_id"], low if r["component_id"] is None else r["component_id"]) for r in got) == sorted((i, want[i]) for i, _ in numbered)
     kept = wide_simhash.drop_similar(docs(spark, rows))
     assert kept.columns == SCHEMA.replace(" long", "").replace(" string", "").replace(" boolean", "").split(", ")
