@@ -41,7 +41,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents, placed in sequences."""
     common.small_batches(spark)
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, keep=100_000)  # the workers of earlier stages' tasks live on beside it
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("secrets", redact), ("packing", pack)]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 #: Rows and bytes of one Arrow batch: a Python worker holds a batch of texts several times over.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
@@ -23,6 +23,13 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def tidy() -> None:
+    """At a task's end: give Arrow's unused memory back, as the Python worker lives on."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the driver's, in a session whose Arrow batches are small enough for long texts."""
     small_batches(spark)

@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexigrid.llm.common import col
+from lexigrid.llm.common import col, tidy
 
 WINDOW = 2048
 SHARD_ROWS = 8192
+#: Words, and runs of characters, whose ids a Python worker keeps: about 200 MB. Fewer take less memory and more time.
+KEEP = 400_000
 
 
 class RoomTree:
@@ -92,11 +94,10 @@ class WordBpe:
     through the library itself. Names of special tokens are ordinary text.
     """
 
-    KEEP = 400_000
     _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc\xbd\xbe]+|[\d\xb2\xb3\xb9\xbc\xbd\xbe]|(?:[^\s\w]|_)+")
     _ODD = re.compile("[\x1c-\x1f\x85\xa0]|[^\x00-\xff]")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: int = KEEP):
         import json
 
         import tiktoken
@@ -115,6 +116,7 @@ class WordBpe:
             if all(c in byte_of for c in body):
                 ranks[bytes(byte_of[c] for c in body) + b"\xff" * end] = rank
         self.engine = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.keep = keep
         self.words: dict[str, bytes] = {}
         self.runs: dict[bytes, bytes] = {}
 
@@ -125,7 +127,7 @@ class WordBpe:
     def _word(self, word: str) -> bytes:
         import numpy as np
 
-        if len(self.words) >= self.KEEP:
+        if len(self.words) >= self.keep:
             self.words.clear()
         own = self.words[word] = np.array(self.engine(word.encode() + b"\xff"), dtype="<u4").tobytes()
         return own
@@ -139,7 +141,7 @@ class WordBpe:
         else:
             words = self.words
             own = b"".join([words.get(w) or self._word(w) for w in self._SPLIT.findall(text.lower())])
-        if len(self.runs) >= self.KEEP:
+        if len(self.runs) >= self.keep:
             self.runs.clear()
         if len(raw) <= 64:
             self.runs[raw] = own
@@ -150,10 +152,10 @@ class WordBpe:
         return b"".join([runs.get(r) or self._run(r) for r in raw.split()])
 
 
-_LOADED: dict[str, WordBpe] = {}
+_LOADED: dict[tuple[str, int], WordBpe] = {}
 
 
-def tokenize_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, window: int = WINDOW, end_id: int = 1) -> DataFrame:
+def tokenize_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, window: int = WINDOW, end_id: int = 1, keep: int = KEEP) -> DataFrame:
     """Pieces of each row of df: doc_id, start long, length long, doc_tokens long, ids binary (little-endian 32-bit).
 
     The row's text is encoded whole, end_id follows, and the ids are cut every
@@ -166,7 +168,7 @@ def tokenize_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def cut(batches):
         import pyarrow as pa
 
-        bpe = _LOADED.get(path) or _LOADED.setdefault(path, WordBpe(path))
+        bpe = _LOADED.get((path, keep)) or _LOADED.setdefault((path, keep), WordBpe(path, keep))
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             out = ([], [], [], [], [])
@@ -188,6 +190,7 @@ def tokenize_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             if out[0]:
                 yield full()
         bpe.forget()
+        tidy()
 
     return df.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("binary").alias("text")).mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, ids binary")
 
@@ -230,6 +233,7 @@ def pack_pieces(pieces: DataFrame, window: int = WINDOW, shard_rows: int = SHARD
             for name, values in (("sequence_id", [(s << 32) + w for w, _ in put]), ("offset", [o for _, o in put]), ("sequence_tokens", total), ("padded_tokens", [u if u & (u - 1) == 0 else window for u in total])):
                 held = held.append_column(name, pa.array(values, type=pa.int64()))
             yield from held.to_batches(max_chunksize=1024)
+        tidy()
 
     added = [T.StructField(c, T.LongType()) for c in ("sequence_id", "offset", "sequence_tokens", "padded_tokens")]
     shard = F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)).cast("int")
@@ -237,11 +241,11 @@ def pack_pieces(pieces: DataFrame, window: int = WINDOW, shard_rows: int = SHARD
     return dealt.mapInArrow(place, T.StructType([*pieces.schema.fields, *added]))
 
 
-def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, window: int = WINDOW, end_id: int = 1, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, window: int = WINDOW, end_id: int = 1, shard_rows: int = SHARD_ROWS, keep: int = KEEP) -> DataFrame:
     """tokenize_pieces, then pack_pieces, with the ids of every piece."""
     size = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(col(text_col))), F.lit(0)).alias("bytes")).first()
     rows = size["n"] + size["bytes"] // (3 * window)
-    return pack_pieces(tokenize_pieces(df, id_col, text_col, tokenizer_path, window, end_id), window, shard_rows, rows)
+    return pack_pieces(tokenize_pieces(df, id_col, text_col, tokenizer_path, window, end_id, keep), window, shard_rows, rows)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
