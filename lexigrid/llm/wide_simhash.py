@@ -15,8 +15,9 @@ differ in one place of seven, too many for one pigeonhole argument. So
   the sets decides.
 
 Of a key with up to ALL_PAIRS texts every pair in reach is a candidate. Of larger
-ones it is a spanning forest and, block by block, the tree of least distances,
-whose edges are the pairs most alike; never all pairs of a large group.
+ones it is the edges of the tree of least distances, which joins whatever nearer
+pairs join, at any distance; above TREE_BLOCK texts it is a tree for each block
+and a spanning forest of all. All pairs of a large group are never made.
 Whether two texts meet is a matter of chance: of texts edited to a similarity of
 0.8, 97 in 100 share a key, and more above (tests/llm measures it).
 """
@@ -29,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import col, settle, shuffle_partitions
+from lexigrid.llm.common import col, settle, shuffle_partitions, tidy
 from lexigrid.llm.simhash import LOWEST, components, golay_index, keep_least, label_members
 
 LANES = 4
@@ -39,9 +40,9 @@ WEAK = 2
 SEARCH_SHINGLE = 2
 SHINGLE = 5
 SIMILARITY = 0.8
-ALL_PAIRS = 64
+ALL_PAIRS = 8
 TREE_BLOCK = 4096
-_KEEP = 200_000
+_KEEP = 50_000
 #: Pairs of segments.
 _LEFT, _RIGHT = np.triu_indices(SEGMENTS, 1)
 
@@ -173,11 +174,11 @@ def least_tree(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
 
 
 def candidates(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Pairs of rows up to `distance` apart: all of a small group; of a larger one a spanning forest and each block's tree of least distances."""
+    """Pairs of rows up to `distance` apart: all of a small group; of a larger one the tree of least distances, of the largest a tree for each block and a spanning forest."""
     if len(prints) <= ALL_PAIRS:
         near = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2, dtype=np.int64) <= distance
         return list(zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1)))))
-    out = forest(prints, distance)
+    out = forest(prints, distance) if len(prints) > TREE_BLOCK else []
     for at in range(0, len(prints), TREE_BLOCK):
         out += [(at + a, at + b) for a, b in least_tree(prints[at : at + TREE_BLOCK], distance)]
     return out
@@ -193,6 +194,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
         for batch in batches:
             own = [sketcher.sketch(raw) for raw in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array([f for f, _ in own], type=pa.binary()), pa.array([i for _, i in own], type=pa.binary())], names=["doc_id", "fp", "indices"])
+        tidy()
 
     return df.select(col(id_col).cast("long"), col(text_col).cast("binary")).mapInArrow(run, "doc_id long, fp binary, indices binary")
 
@@ -246,6 +248,7 @@ def similar_pairs(distinct: DataFrame, distance: int) -> DataFrame:
             groups(held_key, held)
         if found:
             yield out()
+        tidy()
 
     parts = shuffle_partitions(distinct.sparkSession)
     keyed = distinct.select("fp", "indices").mapInArrow(emit, "key long, fp binary")
@@ -263,6 +266,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(shared + 1e-9 >= similarity * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(np.array(keep, dtype=bool))
+        tidy()
 
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(judge, "a binary, b binary")
