@@ -14,11 +14,11 @@ differ in one place of seven, too many for one pigeonhole argument. So
 * candidates are joined with their shingle sets, and the Jaccard similarity of
   the sets decides.
 
-Of a key with up to ALL_PAIRS texts every pair in reach is a candidate. Of larger
-ones it is the edges of the tree of least distances, which joins whatever nearer
-pairs join, at any distance; above TREE_BLOCK texts it is a tree for each block
-and a spanning forest of all. All pairs of a large group are never made.
-Whether two texts meet is a matter of chance: of texts edited to a similarity of
+Texts of a key that pairs in reach join are a cluster. Of one with up to ALL_PAIRS
+texts every pair in reach is a candidate; of larger ones the edges of the tree of
+least distances are tried first. Where these leave texts of a key apart, the key
+is dealt as pairs of blocks, and open_links() verifies every pair in reach that no
+verified links join yet. So no pair of a key in reach is left out. Whether two texts meet is a matter of chance: of texts edited to a similarity of
 0.8, 97 in 100 share a key, and more above (tests/llm measures it).
 """
 
@@ -41,7 +41,7 @@ SEARCH_SHINGLE = 2
 SHINGLE = 5
 SIMILARITY = 0.8
 ALL_PAIRS = 8
-TREE_BLOCK = 4096
+BLOCK = 128
 _KEEP = 50_000
 #: Pairs of segments.
 _LEFT, _RIGHT = np.triu_indices(SEGMENTS, 1)
@@ -139,22 +139,6 @@ def search_keys(indices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(fresh)[0], keys[fresh]
 
 
-def forest(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """A spanning forest, as row numbers, of the links among fingerprints (rows of LANES words)."""
-    left, out = np.arange(len(prints)), []
-    while len(left) > 1:
-        stack, left = [int(left[0])], left[1:]
-        while stack and len(left):
-            at = stack.pop()
-            near = np.bitwise_count(prints[left] ^ prints[at]).sum(axis=1, dtype=np.int64) <= distance
-            if near.any():
-                found = left[near].tolist()
-                out += [(at, f) for f in found]
-                stack += found
-                left = left[~near]
-    return out
-
-
 def least_tree(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """The edges up to `distance` of a tree of least total distance (Prim, 1957)."""
     best = np.bitwise_count(prints ^ prints[0]).sum(axis=1, dtype=np.int64)
@@ -173,15 +157,47 @@ def least_tree(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return out
 
 
+def clusters(pairs: list[tuple[int, int]]) -> list[list[int]]:
+    """The rows that pairs join, sorted, a list for each component."""
+    near: dict[int, list[int]] = {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    out, seen = [], set()
+    for start in near:
+        if start in seen:
+            continue
+        seen.add(start)
+        own = [start]
+        for at in own:
+            fresh = [x for x in near[at] if x not in seen]
+            seen.update(fresh)
+            own += fresh
+        out.append(sorted(own))
+    return out
+
+
+def all_pairs(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    near = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2, dtype=np.int64) <= distance
+    return list(zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1)))))
+
+
 def candidates(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Pairs of rows up to `distance` apart: all of a small group; of a larger one the tree of least distances, of the largest a tree for each block and a spanning forest."""
+    """Pairs of rows up to `distance` apart: all of clusters of up to ALL_PAIRS rows, of larger ones the tree of least distances."""
     if len(prints) <= ALL_PAIRS:
-        near = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2, dtype=np.int64) <= distance
-        return list(zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1)))))
-    out = forest(prints, distance) if len(prints) > TREE_BLOCK else []
-    for at in range(0, len(prints), TREE_BLOCK):
-        out += [(at + a, at + b) for a, b in least_tree(prints[at : at + TREE_BLOCK], distance)]
-    return out
+        return all_pairs(prints, distance)
+    tree, out, large = least_tree(prints, distance), [], set()
+    for own in clusters(tree):
+        if len(own) > ALL_PAIRS:
+            large.update(own)
+        else:
+            out += [(own[a], own[b]) for a, b in all_pairs(prints[own], distance)]
+    return out + [(a, b) for a, b in tree if a in large]
+
+
+def crowded(pairs: list[tuple[int, int]]) -> list[int]:
+    """Rows of the clusters of which candidates() gives a tree only."""
+    return [k for own in clusters(pairs) if len(own) > ALL_PAIRS for k in own]
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -200,7 +216,10 @@ def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
 
 
 def similar_pairs(distinct: DataFrame, distance: int) -> DataFrame:
-    """Candidates (a, b), a below b, among distinct fingerprints (fp, indices): candidates() of each key, some more than once."""
+    """Candidates (a, b), a below b, among distinct fingerprints (fp, indices): candidates() of each key, some more than once.
+
+    With b null, each fingerprint a of a key (column key) with pairs in reach that are no candidates.
+    """
 
     def emit(batches):
         import pyarrow as pa
@@ -215,12 +234,14 @@ def similar_pairs(distinct: DataFrame, distance: int) -> DataFrame:
         import pyarrow as pa
 
         found: set[tuple[bytes, bytes]] = set()
+        rest: list[tuple[bytes, int]] = []
         held_key, held = np.zeros(0, dtype=np.int64), np.zeros((0, LANES), dtype=np.uint64)
 
         def out():
-            a, b = zip(*found)
+            a, b, key = [a for a, _ in found] + [a for a, _ in rest], [b for _, b in found] + [None] * len(rest), [None] * len(found) + [k for _, k in rest]
             found.clear()
-            return pa.record_batch([pa.array(a, type=pa.binary()), pa.array(b, type=pa.binary())], names=["a", "b"])
+            rest.clear()
+            return pa.record_batch([pa.array(a, type=pa.binary()), pa.array(b, type=pa.binary()), pa.array(key, type=pa.int64())], names=["a", "b", "key"])
 
         def groups(key, prints):
             cut = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]])
@@ -229,7 +250,10 @@ def similar_pairs(distinct: DataFrame, distance: int) -> DataFrame:
             near = np.bitwise_count(prints[two] ^ prints[two + 1]).sum(axis=1, dtype=np.int64) <= distance
             pairs = [(k, k + 1) for k in two[near].tolist()]
             for k in np.nonzero(size > 2)[0].tolist():
-                pairs += [(cut[k] + a, cut[k] + b) for a, b in candidates(prints[cut[k] : cut[k + 1]], distance)]
+                own = prints[cut[k] : cut[k + 1]]
+                some = candidates(own, distance)
+                pairs += [(cut[k] + a, cut[k] + b) for a, b in some]
+                rest.extend((own[a].tobytes(), int(key[cut[k]])) for a in crowded(some))
             both = ((prints[a].tobytes(), prints[b].tobytes()) for a, b in pairs)
             found.update((a, b) if a < b else (b, a) for a, b in both)
 
@@ -242,17 +266,17 @@ def similar_pairs(distinct: DataFrame, distance: int) -> DataFrame:
             if last:
                 groups(key[:last], prints[:last])
             held_key, held = key[last:], prints[last:]
-            if len(found) > 100_000:
+            if len(found) + len(rest) > 100_000:
                 yield out()
         if len(held_key):
             groups(held_key, held)
-        if found:
+        if found or rest:
             yield out()
         tidy()
 
     parts = shuffle_partitions(distinct.sparkSession)
     keyed = distinct.select("fp", "indices").mapInArrow(emit, "key long, fp binary")
-    return keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(meet, "a binary, b binary")
+    return keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(meet, "a binary, b binary, key long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -272,6 +296,83 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(judge, "a binary, b binary")
 
 
+def tried_apart(fps: list[bytes], roots: list[bytes], sets: list[bytes], distance: int, similarity: float) -> list[tuple[int, int]]:
+    """Links, as row numbers, that join whatever links among the rows in reach join; rows with equal roots are joined already."""
+    prints = np.frombuffer(b"".join(fps), "<u8").reshape(-1, LANES)
+    label = np.unique(np.array([r.hex() for r in roots]), return_inverse=True)[1]
+    size = np.array([len(x) // 8 for x in sets])
+    place, out = np.unique(np.frombuffer(b"".join(sets), "<u8"), return_inverse=True)[1], []
+    starts = np.concatenate([[0], np.cumsum(size)])
+    mark = np.zeros(len(place), dtype=bool)
+    for a in range(len(fps) - 1):
+        near = np.bitwise_count(prints[a + 1 :] ^ prints[a]).sum(axis=1, dtype=np.int64) <= distance
+        if not (near & (label[a + 1 :] != label[a])).any():
+            continue
+        own = place[starts[a] : starts[a + 1]]
+        mark[own] = True
+        sums = np.concatenate([[0], np.cumsum(mark[place[starts[a + 1] :]])])
+        mark[own] = False
+        shared = np.diff(sums[starts[a + 1 :] - starts[a + 1]])
+        for b in (np.nonzero(near & (shared + 1e-9 >= similarity * (size[a] + size[a + 1 :] - shared)))[0] + a + 1).tolist():
+            if label[a] != label[b]:
+                out.append((a, b))
+                label[label == label[b]] = label[a]
+    return out
+
+
+def open_links(hot: DataFrame, member: DataFrame, sets: DataFrame, distance: int, similarity: float) -> DataFrame:
+    """Links (a, b) that, with those behind member (node, root), join whatever links of the keys of hot (key, fp) join.
+
+    Keys of which all texts have one root are done. Others are dealt by a hash of
+    the fingerprint into blocks of about BLOCK texts, and each pair of blocks is a
+    group of its own; of it the texts in reach of one with another root are verified.
+    """
+    known = hot.join(member.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    left = known.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    own = known.join(left.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("fp"), "blocks"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "root")
+
+    def by_group(batches, width):
+        held, at = [[] for _ in range(width)], None
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:3] != at:
+                    if at is not None:
+                        yield at, held
+                    held, at = [[] for _ in range(width)], row[:3]
+                for k in range(width):
+                    held[k].append(row[3 + k])
+        if at is not None:
+            yield at, held
+
+    def reach(batches):
+        import pyarrow as pa
+
+        for (key, i, j), (fps, roots) in by_group(batches, 2):
+            prints = np.frombuffer(b"".join(fps), "<u8").reshape(-1, LANES)
+            label = np.unique(np.array([r.hex() for r in roots]), return_inverse=True)[1]
+            near = [bool(((np.bitwise_count(prints ^ p).sum(axis=1, dtype=np.int64) <= distance) & (label != l)).any()) for p, l in zip(prints, label)]
+            fp, root = ([x for x, y in zip(c, near) if y] for c in (fps, roots))
+            if fp:
+                yield pa.record_batch([pa.array([v] * len(fp), type=pa.int64()) for v in (key, i, j)] + [pa.array(fp, type=pa.binary()), pa.array(root, type=pa.binary())], names=["key", "i", "j", "fp", "root"])
+        tidy()
+
+    def judge(batches):
+        import pyarrow as pa
+
+        for _, (fps, roots, texts) in by_group(batches, 3):
+            links = tried_apart(fps, roots, texts, distance, similarity)
+            if links:
+                yield pa.record_batch([pa.array([fps[x[k]] for x in links], type=pa.binary()) for k in (0, 1)], names=["a", "b"])
+        tidy()
+
+    parts, group = shuffle_partitions(hot.sparkSession), ["key", "i", "j"]
+    some = dealt.repartition(parts, *group).sortWithinPartitions(*group, "fp").mapInArrow(reach, "key long, i long, j long, fp binary, root binary")
+    whole = settle(some).join(sets, "fp").select(*group, "fp", "root", "shingles")
+    return whole.repartition(parts, *group).sortWithinPartitions(*group, "fp").mapInArrow(judge, "a binary, b binary")
+
+
 def shingle_sets(df: DataFrame, text_col: str, shingle: int) -> DataFrame:
     """fp binary, shingles binary (sorted 64-bit hashes), one row for each fingerprint of df."""
 
@@ -300,11 +401,17 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lowest = F.lit(LOWEST)
     prints = settle(sketches(df, id_col, text_col, shingle))
     distinct = settle(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", lowest)).alias("first_id"), F.min("indices").alias("indices")))
-    pairs = settle(similar_pairs(distinct, allowed_distance(similarity)).distinct())
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct, "fp").select(F.col("first_id").alias("_first")).distinct()
+    distance = allowed_distance(similarity)
+    found = settle(similar_pairs(distinct, distance).distinct())
+    pairs, hot = found.where("b is not null").select("a", "b"), found.where("b is null").select("key", F.col("a").alias("fp"))
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(hot.select("fp")).distinct().join(distinct, "fp").select(F.col("first_id").alias("_first")).distinct()
     texts = df.select(F.coalesce(col(id_col).cast("long"), lowest).alias("_id"), col(text_col).alias("_text"))
     sets = settle(shingle_sets(texts.join(nodes, F.col("_id") == F.col("_first"), "left_semi"), "_text", shingle))
-    return label_members(prints.select("doc_id", "fp"), distinct.select("fp", "first_id"), settle(components(verified(pairs, sets, similarity))))
+    member = settle(components(verified(pairs, sets, similarity)))
+    more = settle(open_links(hot, member, sets, distance, similarity).distinct())
+    if not more.isEmpty():
+        member = settle(components(member.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
+    return label_members(prints.select("doc_id", "fp"), distinct.select("fp", "first_id"), member)
 
 
 def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
