@@ -18,7 +18,8 @@ Texts of a key that pairs in reach join are a cluster. Of one with up to ALL_PAI
 texts every pair in reach is a candidate; of larger ones the edges of the tree of
 least distances are tried first. Where these leave texts of a key apart, the key
 is dealt as pairs of blocks, and open_links() verifies every pair in reach that no
-verified links join yet. So no pair of a key in reach is left out. Whether two texts meet is a matter of chance: of texts edited to a similarity of
+verified links join yet. A key's texts come sorted by fingerprint and no task holds
+more than TREE_BLOCK of them; of a key with more all texts go on to that step. So no pair of a key in reach is left out. Whether two texts meet is a matter of chance: of texts edited to a similarity of
 0.8, 97 in 100 share a key, and more above (tests/llm measures it).
 """
 
@@ -41,6 +42,8 @@ SEARCH_SHINGLE = 2
 SHINGLE = 5
 SIMILARITY = 0.8
 ALL_PAIRS = 8
+TREE_BLOCK = 4096
+SAMPLE = 64
 BLOCK = 128
 _KEEP = 50_000
 #: Pairs of segments.
@@ -235,6 +238,7 @@ def similar_pairs(distinct: DataFrame, distance: int) -> DataFrame:
 
         found: set[tuple[bytes, bytes]] = set()
         rest: list[tuple[bytes, int]] = []
+        ahead = np.zeros((0, LANES), dtype=np.uint64)  # of the held key: a sample of its blocks so far
         held_key, held = np.zeros(0, dtype=np.int64), np.zeros((0, LANES), dtype=np.uint64)
 
         def out():
@@ -243,7 +247,23 @@ def similar_pairs(distinct: DataFrame, distance: int) -> DataFrame:
             rest.clear()
             return pa.record_batch([pa.array(a, type=pa.binary()), pa.array(b, type=pa.binary()), pa.array(key, type=pa.int64())], names=["a", "b", "key"])
 
+        def block(key, prints):
+            """One of several blocks of a key: its tree, and with those before it by their sample. All its texts go to open_links()."""
+            both = np.concatenate([ahead, prints])
+            add((both[a].tobytes(), both[b].tobytes()) for a, b in candidates(both, distance))
+            rest.extend((p.tobytes(), key) for p in prints)
+            return both[:: -(-len(both) // SAMPLE)]
+
+        def add(pairs):
+            found.update((a, b) if a < b else (b, a) for a, b in pairs if a != b)
+
         def groups(key, prints):
+            if len(ahead):
+                first = int(np.searchsorted(key, key[0], "right"))
+                block(int(key[0]), prints[:first])
+                key, prints = key[first:], prints[first:]
+                if not len(key):
+                    return
             cut = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]])
             size = np.diff(cut)
             two = cut[:-1][size == 2]
@@ -254,8 +274,7 @@ def similar_pairs(distinct: DataFrame, distance: int) -> DataFrame:
                 some = candidates(own, distance)
                 pairs += [(cut[k] + a, cut[k] + b) for a, b in some]
                 rest.extend((own[a].tobytes(), int(key[cut[k]])) for a in crowded(some))
-            both = ((prints[a].tobytes(), prints[b].tobytes()) for a, b in pairs)
-            found.update((a, b) if a < b else (b, a) for a, b in both)
+            add((prints[a].tobytes(), prints[b].tobytes()) for a, b in pairs)
 
         for batch in batches:
             if not batch.num_rows:
@@ -265,7 +284,11 @@ def similar_pairs(distinct: DataFrame, distance: int) -> DataFrame:
             last = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
             if last:
                 groups(key[:last], prints[:last])
+                ahead = ahead[:0]
             held_key, held = key[last:], prints[last:]
+            while len(held) > TREE_BLOCK:
+                ahead = block(int(held_key[0]), held[:TREE_BLOCK])
+                held_key, held = held_key[TREE_BLOCK:], held[TREE_BLOCK:]
             if len(found) + len(rest) > 100_000:
                 yield out()
         if len(held_key):
@@ -276,7 +299,7 @@ def similar_pairs(distinct: DataFrame, distance: int) -> DataFrame:
 
     parts = shuffle_partitions(distinct.sparkSession)
     keyed = distinct.select("fp", "indices").mapInArrow(emit, "key long, fp binary")
-    return keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(meet, "a binary, b binary, key long")
+    return keyed.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(meet, "a binary, b binary, key long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

@@ -310,3 +310,23 @@ def test_rows_left_apart_are_verified_to_the_last_pair():
         root = [a if r == b else r for r in root]
     assert dict(enumerate(root)) == want
     assert wide_simhash.tried_apart(fps, [fps[want[k]] for k in range(80)], sets, 256, 0.8) == []
+
+
+def test_a_key_of_more_than_one_block_loses_no_links(spark):
+    rng = random.Random(17)
+    rows = list(enumerate(family(rng, 4600, 304, (3, 3, 4, 4, 5))))
+    rng.shuffle(rows)
+    got = wide_simhash.similar_documents(docs(spark, rows).repartition(3)).collect()
+    assert {r["component_id"] for r in got} == {0}
+
+
+def test_blocks_of_any_size_give_the_same_components(spark, monkeypatch):
+    rng = random.Random(18)
+    rows = list(enumerate(family(rng, 300, 304, (3, 3, 4, 4, 5))))
+    found = []
+    for block, pair in ((4096, 128), (16, 8)):
+        monkeypatch.setattr(wide_simhash, "TREE_BLOCK", block)
+        monkeypatch.setattr(wide_simhash, "BLOCK", pair)
+        rng.shuffle(rows)
+        found.append({r["doc_id"]: r["component_id"] for r in wide_simhash.similar_documents(docs(spark, rows)).collect()})
+    assert found[0] == found[1]
