@@ -1,4 +1,4 @@
-"""Near-duplicates by similarity: wide SimHash fingerprints, found by keys of decoded Golay segments, verified on shingles.
+"""Near-duplicates by similarity: wide SimHash fingerprints, found by keys of decoded Golay segments and MinHash bands, verified on shingles.
 
 Four bits of 64, which simhash.py searches exactly, are a Jaccard similarity of
 about 0.97. At 0.8, shingle sets as different as that give SimHash bits that
@@ -11,6 +11,10 @@ differ in one place of seven, too many for one pigeonhole argument. So
   majority are the likeliest to differ; the segment and what flipping WEAK of them
   gives are decoded to indices of the Golay code's nearest codewords. A key is a
   pair of segments with an index of each; texts that share one are compared;
+* edits in one place change word pairs as much as longer runs. So the shingle set
+  itself gives BANDS more keys, each of BAND_ROWS least hashes (MinHash): at a
+  Jaccard similarity of 0.8 sets share one with a chance of 0.998, whatever was
+  edited;
 * candidates are joined with their shingle sets, and the Jaccard similarity of
   the sets decides.
 
@@ -19,8 +23,8 @@ texts every pair in reach is a candidate; of larger ones the edges of the tree o
 least distances are tried first. Where these leave texts of a key apart, the key
 is dealt as pairs of blocks, and open_links() verifies every pair in reach that no
 verified links join yet. A key's texts come sorted by fingerprint and no task holds
-more than TREE_BLOCK of them; of a key with more all texts go on to that step. So no pair of a key in reach is left out. Whether two texts meet is a matter of chance: of texts edited to a similarity of
-0.8, 97 in 100 share a key, and more above (tests/llm measures it).
+more than TREE_BLOCK of them; of a key with more all texts go on to that step. So no pair of a key in reach is left out. Whether two texts meet is a matter of chance; at a similarity of 0.8 it is the
+reach of the fingerprint that loses most, 1 in 100 (README: measured recall).
 """
 
 from __future__ import annotations
@@ -38,6 +42,7 @@ LANES = 4
 SEGMENTS = 5
 SEGMENT_BITS = 23
 WEAK = 2
+BANDS, BAND_ROWS = 16, 5
 SEARCH_SHINGLE = 2
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -89,6 +94,20 @@ def majorities(hashes: np.ndarray, lanes: range) -> np.ndarray:
     return 2 * ones - len(hashes)
 
 
+_TIMES, _PLUS = _mix(np.arange(1, 2 * BANDS * BAND_ROWS + 1, dtype=np.uint64) << np.uint64(32)).reshape(2, -1) | np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """BANDS keys below 0, int64, of a set of hashes: of the least values of BAND_ROWS functions each."""
+    least = np.full(BANDS * BAND_ROWS, ~np.uint64(0))
+    for at in range(0, len(hashes), 1 << 11):
+        np.minimum(least, (_mix(hashes[at : at + (1 << 11), None]) * _TIMES + _PLUS).min(axis=0), out=least)
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for own in least.reshape(BANDS, BAND_ROWS).T:
+        out = _mix(out ^ own)
+    return (out | np.uint64(1 << 63)).view(np.int64)
+
+
 class Sketcher:
     """Texts in UTF-8 to fingerprints and the codeword indices that they are searched by."""
 
@@ -117,18 +136,23 @@ class Sketcher:
 
     def sketch(self, raw: bytes | None) -> tuple[bytes, bytes]:
         """(fingerprint of 8 * LANES bytes, SEGMENTS * 2^WEAK indices of 16 bits). Without words all are zero."""
+        return self.sketch_bands(raw)[:2]
+
+    def sketch_bands(self, raw: bytes | None) -> tuple[bytes, bytes, bytes]:
+        """sketch() and the BANDS keys of 64 bits."""
         words = (raw or b"").lower().split()
         if not words:
-            return bytes(8 * LANES), bytes(2 * SEGMENTS << WEAK)
+            return bytes(8 * LANES), bytes(2 * SEGMENTS << WEAK), band_keys(np.zeros(0, dtype=np.uint64)).astype("<i8").tobytes()
         hashed = self._hashes(words)
-        fp = np.packbits(majorities(shingle_set(hashed, self.shingle), range(LANES)) > 0, bitorder="little").tobytes()
+        runs = shingle_set(hashed, self.shingle)
+        fp = np.packbits(majorities(runs, range(LANES)) > 0, bitorder="little").tobytes()
         lead = majorities(shingle_set(hashed, SEARCH_SHINGLE), range(LANES, LANES + -(-SEGMENTS * SEGMENT_BITS // 64)))
         lead = lead[: SEGMENTS * SEGMENT_BITS].reshape(SEGMENTS, SEGMENT_BITS)
         near = ((lead > 0) * self.place).sum(axis=1, dtype=np.uint32)[:, None]
         weak = self.place[np.argsort(np.abs(lead), axis=1, kind="stable")[:, :WEAK]]
         for k in range(WEAK):
             near = np.concatenate([near, near ^ weak[:, k : k + 1]], axis=1)
-        return fp, self.golay[near].astype("<u2").tobytes()
+        return fp, self.golay[near].astype("<u2").tobytes(), band_keys(runs).astype("<i8").tobytes()
 
 
 def search_keys(indices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,22 +228,22 @@ def crowded(pairs: list[tuple[int, int]]) -> list[int]:
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """doc_id long, fp binary, indices binary, one row for each row of df."""
+    """doc_id long, fp, indices and bands binary, one row for each row of df."""
 
     def run(batches):
         import pyarrow as pa
 
         sketcher = Sketcher(shingle)
         for batch in batches:
-            own = [sketcher.sketch(raw) for raw in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array([f for f, _ in own], type=pa.binary()), pa.array([i for _, i in own], type=pa.binary())], names=["doc_id", "fp", "indices"])
+            own = [sketcher.sketch_bands(raw) for raw in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), *(pa.array([x[k] for x in own], type=pa.binary()) for k in range(3))], names=["doc_id", "fp", "indices", "bands"])
         tidy()
 
-    return df.select(col(id_col).cast("long"), col(text_col).cast("binary")).mapInArrow(run, "doc_id long, fp binary, indices binary")
+    return df.select(col(id_col).cast("long"), col(text_col).cast("binary")).mapInArrow(run, "doc_id long, fp binary, indices binary, bands binary")
 
 
 def similar_pairs(distinct: DataFrame, distance: int) -> DataFrame:
-    """Candidates (a, b), a below b, among distinct fingerprints (fp, indices): candidates() of each key, some more than once.
+    """Candidates (a, b), a below b, among distinct fingerprints (fp, indices, bands): candidates() of each key, some more than once.
 
     With b null, each fingerprint a of a key (column key) with pairs in reach that are no candidates.
     """
@@ -232,6 +256,8 @@ def similar_pairs(distinct: DataFrame, distance: int) -> DataFrame:
             for at in range(0, len(indices), 1000):
                 row, key = search_keys(indices[at : at + 1000])
                 yield pa.record_batch([pa.array(key), fp.take(pa.array(row + at))], names=["key", "fp"])
+            bands = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<i8")
+            yield pa.record_batch([pa.array(bands), fp.take(pa.array(np.arange(len(bands)) // BANDS))], names=["key", "fp"])
 
     def meet(batches):
         import pyarrow as pa
@@ -298,7 +324,7 @@ def similar_pairs(distinct: DataFrame, distance: int) -> DataFrame:
         tidy()
 
     parts = shuffle_partitions(distinct.sparkSession)
-    keyed = distinct.select("fp", "indices").mapInArrow(emit, "key long, fp binary")
+    keyed = distinct.select("fp", "indices", "bands").mapInArrow(emit, "key long, fp binary")
     return keyed.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(meet, "a binary, b binary, key long")
 
 
@@ -423,7 +449,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     lowest = F.lit(LOWEST)
     prints = settle(sketches(df, id_col, text_col, shingle))
-    distinct = settle(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", lowest)).alias("first_id"), F.min("indices").alias("indices")))
+    distinct = settle(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", lowest)).alias("first_id"), F.min("indices").alias("indices"), F.min("bands").alias("bands")))
     distance = allowed_distance(similarity)
     found = settle(similar_pairs(distinct, distance).distinct())
     pairs, hot = found.where("b is not null").select("a", "b"), found.where("b is null").select("key", F.col("a").alias("fp"))

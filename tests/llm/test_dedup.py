@@ -330,3 +330,31 @@ def test_blocks_of_any_size_give_the_same_components(spark, monkeypatch):
         rng.shuffle(rows)
         found.append({r["doc_id"]: r["component_id"] for r in wide_simhash.similar_documents(docs(spark, rows)).collect()})
     assert found[0] == found[1]
+
+
+def test_copies_edited_in_one_place_are_found(spark):
+    rng = random.Random(19)
+    rows, kinds = [], {"swapped": [], "appended": [], "truncated": []}
+    while len(rows) < 1200:
+        n, kind = len(rows) // 2, rng.choice(list(kinds))
+        text = [f"w{rng.randrange(3000)}" for _ in range(rng.choice((80, 300, 900)))]
+        some = int(len(text) * rng.uniform(0.05, 0.25))
+        new, at = [f"w{rng.randrange(3000)}" for _ in range(some)], rng.randrange(len(text) - some)
+        copy = {"swapped": text[:at] + new[: some // 2] + text[at + some // 2 :], "appended": text + new, "truncated": text[:-some]}[kind]
+        a, b = plain_shingles(" ".join(text), 5), plain_shingles(" ".join(copy), 5)
+        if 0.8 <= len(a & b) / len(a | b) <= 0.86:
+            kinds[kind].append(n)
+            rows += [(2 * n, " ".join(text)), (2 * n + 1, " ".join(copy))]
+    got = {r["doc_id"]: r["component_id"] for r in wide_simhash.similar_documents(docs(spark, rows)).collect()}
+    for own in kinds.values():
+        assert sum(got[2 * n + 1] == 2 * n for n in own) >= 0.97 * len(own)
+
+
+@pytest.mark.parametrize("text", ["", "one", "a b c d e", " ".join(f"w{k % 977}" for k in range(9000))])
+def test_bands_are_of_the_shingle_set(text):
+    sketcher = wide_simhash.Sketcher(5)
+    fp, found, bands = sketcher.sketch_bands(text.encode())
+    bands = np.frombuffer(bands, "<i8")
+    assert (fp, found) == sketcher.sketch(text.encode())
+    assert len(set(bands.tolist())) == 16 and (bands < 0).all()
+    assert (bands == wide_simhash.band_keys(sketcher.shingles(text.encode())[::-1])).all()
