@@ -23,7 +23,7 @@ from functools import cache
 from itertools import accumulate
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrid.llm.common import col, settle, shuffle_partitions
@@ -122,17 +122,22 @@ def spanning_links(prints: np.ndarray, distance: int = DISTANCE) -> list[tuple[i
     return out
 
 
+def text_digest(text_col: str) -> Column:
+    """16 bytes that tell texts apart; null counts as empty, as it does for fingerprints."""
+    return F.unhex(F.md5(F.coalesce(col(text_col).cast("binary"), F.lit(b""))))
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id long, fp long (the fingerprint's bits as a signed number), one row for each row of df."""
+    """doc_id long, fp long (the fingerprint's bits as a signed number), digest binary, one row for each row of df."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             own = np.array([simhash(raw, shingle, seed) for raw in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.record_batch([batch.column(0), pa.array(own.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), pa.array(own.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "digest"])
 
-    return df.select(col(id_col).cast("long"), col(text_col).cast("binary")).mapInArrow(run, "doc_id long, fp long")
+    return df.select(col(id_col).cast("long"), col(text_col).cast("binary"), text_digest(text_col)).mapInArrow(run, "doc_id long, fp long, digest binary")
 
 
 def near_links(distinct: DataFrame) -> DataFrame:
@@ -210,25 +215,30 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def label_members(prints: DataFrame, distinct: DataFrame, member: DataFrame) -> DataFrame:
-    """prints (doc_id, fp) with component_id.
+    """prints (doc_id, fp, digest) with component_id and root (a fingerprint that names the component).
 
     distinct: fp, first_id (the least identifier, null counting as the lowest
     long). member: node, root, as components() has them.
     """
     rooted = distinct.join(member.withColumnRenamed("node", "fp"), "fp", "inner")
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component"))
-    named = rooted.join(least, "root").select("fp", "component")
-    whole = distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "first_id").alias("component"))
-    return prints.join(whole, "fp").select("doc_id", "fp", F.when(F.col("component") != LOWEST, F.col("component")).alias("component_id"))
+    named = rooted.join(least, "root").select("fp", "component", "root")
+    whole = distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "first_id").alias("component"), F.coalesce("root", "fp").alias("root"))
+    return prints.join(whole, "fp").select("doc_id", "fp", F.when(F.col("component") != LOWEST, F.col("component")).alias("component_id"), "digest", "root")
 
 
 def keep_least(df: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of df, with all their columns, whose identifier is the component_id of its row in labels; of repeated rows one stays."""
+    """The rows of df, with all their columns, that are the least of their component in labels, by identifier, then text; of rows equal in both one stays.
+
+    Components are told apart by root, not by identifier: unlike texts with null
+    or repeated identifiers each stay.
+    """
     lowest = F.lit(LOWEST)
-    kept = labels.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", lowest).alias("_kept")).distinct()
-    key = F.coalesce(col(id_col).cast("long"), lowest)
-    ones = df.join(kept, key == F.col("_kept"), "left_semi")
-    return ones.groupBy(key.alias("_key")).agg(F.min_by(F.struct(*[col(c) for c in df.columns]), F.coalesce(col(text_col), F.lit(""))).alias("_row")).select(*[F.col("_row").getField(c).alias(c) for c in df.columns])
+    least = labels.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = least.select(F.coalesce("doc_id", lowest).alias("_kept"), F.col("digest").alias("_digest"), F.col("root").alias("_root")).distinct()
+    rows = df.select(F.coalesce(col(id_col).cast("long"), lowest).alias("_kept"), text_digest(text_col).alias("_digest"), F.coalesce(col(text_col), F.lit("")).alias("_text"), F.struct(*[col(c) for c in df.columns]).alias("_row"))
+    ones = rows.join(kept, ["_kept", "_digest"]).groupBy("_root").agg(F.min_by("_row", "_text").alias("_row"))
+    return ones.select(*[F.col("_row").getField(c).alias(c) for c in df.columns])
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -240,11 +250,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     one identifier each get a row. Other columns are not read. An empty table
     gives no rows.
     """
+    return near_labels(df, id_col, text_col, shingle, seed).select("doc_id", "fp", "component_id")
+
+
+def near_labels(df: DataFrame, id_col: str, text_col: str, shingle: int, seed: int) -> DataFrame:
+    """near_duplicates() with digest and root, as label_members() has them."""
     prints = settle(fingerprints(df, id_col, text_col, shingle, seed))
     distinct = settle(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(LOWEST))).alias("first_id")))
     return label_members(prints, distinct, settle(components(near_links(distinct))))
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """The rows of df, with all their columns, of the document with the least identifier of each component; of repeated rows one stays."""
-    return keep_least(df, near_duplicates(df, id_col, text_col, shingle, seed), id_col, text_col)
+    """The rows of df, with all their columns, of the least document of each component, by identifier, then text; of repeated rows one stays."""
+    return keep_least(df, near_labels(df, id_col, text_col, shingle, seed), id_col, text_col)

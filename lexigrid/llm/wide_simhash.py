@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrid.llm.common import col, settle, shuffle_partitions, tidy
-from lexigrid.llm.simhash import LOWEST, components, golay_index, keep_least, label_members
+from lexigrid.llm.simhash import LOWEST, components, golay_index, keep_least, label_members, text_digest
 
 LANES = 4
 SEGMENTS = 5
@@ -228,7 +228,7 @@ def crowded(pairs: list[tuple[int, int]]) -> list[int]:
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """doc_id long, fp, indices and bands binary, one row for each row of df."""
+    """doc_id long, fp, indices, bands and digest binary, one row for each row of df."""
 
     def run(batches):
         import pyarrow as pa
@@ -236,10 +236,10 @@ def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
         sketcher = Sketcher(shingle)
         for batch in batches:
             own = [sketcher.sketch_bands(raw) for raw in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), *(pa.array([x[k] for x in own], type=pa.binary()) for k in range(3))], names=["doc_id", "fp", "indices", "bands"])
+            yield pa.record_batch([batch.column(0), *(pa.array([x[k] for x in own], type=pa.binary()) for k in range(3)), batch.column(2)], names=["doc_id", "fp", "indices", "bands", "digest"])
         tidy()
 
-    return df.select(col(id_col).cast("long"), col(text_col).cast("binary")).mapInArrow(run, "doc_id long, fp binary, indices binary, bands binary")
+    return df.select(col(id_col).cast("long"), col(text_col).cast("binary"), text_digest(text_col)).mapInArrow(run, "doc_id long, fp binary, indices binary, bands binary, digest binary")
 
 
 def similar_pairs(distinct: DataFrame, distance: int) -> DataFrame:
@@ -447,22 +447,27 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is null where it is the least. Repeated rows each get a row.
     Other columns are not read. An empty table gives no rows.
     """
+    return similar_labels(df, id_col, text_col, shingle, similarity).select("doc_id", "fp", "component_id")
+
+
+def similar_labels(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """similar_documents() with digest and root, as label_members() has them."""
     lowest = F.lit(LOWEST)
     prints = settle(sketches(df, id_col, text_col, shingle))
-    distinct = settle(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", lowest)).alias("first_id"), F.min("indices").alias("indices"), F.min("bands").alias("bands")))
+    distinct = settle(prints.groupBy("fp").agg(F.min(F.struct(F.coalesce("doc_id", lowest).alias("first_id"), "digest")).alias("first"), F.min("indices").alias("indices"), F.min("bands").alias("bands")).select("fp", "first.first_id", F.col("first.digest").alias("first_digest"), "indices", "bands"))
     distance = allowed_distance(similarity)
     found = settle(similar_pairs(distinct, distance).distinct())
     pairs, hot = found.where("b is not null").select("a", "b"), found.where("b is null").select("key", F.col("a").alias("fp"))
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(hot.select("fp")).distinct().join(distinct, "fp").select(F.col("first_id").alias("_first")).distinct()
-    texts = df.select(F.coalesce(col(id_col).cast("long"), lowest).alias("_id"), col(text_col).alias("_text"))
-    sets = settle(shingle_sets(texts.join(nodes, F.col("_id") == F.col("_first"), "left_semi"), "_text", shingle))
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(hot.select("fp")).distinct().join(distinct, "fp").select(F.col("first_id").alias("_id"), F.col("first_digest").alias("_digest")).distinct()
+    texts = df.select(F.coalesce(col(id_col).cast("long"), lowest).alias("_id"), text_digest(text_col).alias("_digest"), col(text_col).alias("_text"))
+    sets = settle(shingle_sets(texts.join(nodes, ["_id", "_digest"], "left_semi"), "_text", shingle))
     member = settle(components(verified(pairs, sets, similarity)))
     more = settle(open_links(hot, member, sets, distance, similarity).distinct())
     if not more.isEmpty():
         member = settle(components(member.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
-    return label_members(prints.select("doc_id", "fp"), distinct.select("fp", "first_id"), member)
+    return label_members(prints.select("doc_id", "fp", "digest"), distinct.select("fp", "first_id"), member)
 
 
 def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of df, with all their columns, of the document with the least identifier of each component; of repeated rows one stays."""
-    return keep_least(df, similar_documents(df, id_col, text_col, shingle, similarity), id_col, text_col)
+    """The rows of df, with all their columns, of the least document of each component, by identifier, then text; of repeated rows one stays."""
+    return keep_least(df, similar_labels(df, id_col, text_col, shingle, similarity), id_col, text_col)

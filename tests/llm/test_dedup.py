@@ -358,3 +358,16 @@ def test_bands_are_of_the_shingle_set(text):
     assert (fp, found) == sketcher.sketch(text.encode())
     assert len(set(bands.tolist())) == 16 and (bands < 0).all()
     assert (bands == wide_simhash.band_keys(sketcher.shingles(text.encode())[::-1])).all()
+
+
+@pytest.mark.parametrize("drop", [simhash.drop_near_duplicates, wide_simhash.drop_similar])
+def test_unlike_texts_under_null_and_repeated_identifiers_stay(spark, drop):
+    rng = random.Random(20)
+    text = lambda: " ".join(f"w{rng.randrange(3000)}" for _ in range(120))
+    clean = [text() for _ in range(8)]
+    near = clean[4] + " end"
+    rows = [(None, t) for t in clean[:4]] + [(None, clean[0]), (3, clean[4]), (7, clean[5]), (7, clean[6]), (7, clean[6]), (7, near), (9, clean[7]), (9, clean[7] + " end")]
+    kept = drop(docs(spark, rows)).collect()
+    linked = {t for _, t in rows} - {r["text"] for r in kept}
+    assert near in linked and clean[7] + " end" in linked  # the near copy goes, the clean texts with its identifier stay
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(0, t) for t in clean[:4]] + [(3, clean[4]), (7, clean[5]), (7, clean[6]), (9, clean[7])])
