@@ -20,8 +20,8 @@ differ in one place of seven, too many for one pigeonhole argument. So
 
 Texts of a key that pairs in reach join are a cluster. Of one with up to ALL_PAIRS
 texts every pair in reach is a candidate; of larger ones the edges of the tree of
-least distances are tried first. Where these leave texts of a key apart, the key
-is dealt as pairs of blocks, and open_links() verifies every pair in reach that no
+least distances are tried first. Where these leave texts of a cluster apart,
+it is dealt as pairs of blocks, and open_links() verifies every pair in reach that no
 verified links join yet. A key's texts come sorted by fingerprint and no task holds
 more than TREE_BLOCK of them; of a key with more all texts go on to that step. So no pair of a key in reach is left out. Whether two texts meet is a matter of chance; at a similarity of 0.8 it is the
 reach of the fingerprint that loses most, 1 in 100 (README: measured recall).
@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import col, settle, shuffle_partitions, tidy
+from lexigrid.llm.common import col, release, settle, shuffle_partitions, tidy
 from lexigrid.llm.simhash import LOWEST, components, golay_index, keep_least, label_members, text_digest
 
 LANES = 4
@@ -49,7 +49,7 @@ SIMILARITY = 0.8
 ALL_PAIRS = 8
 TREE_BLOCK = 4096
 SAMPLE = 64
-BLOCK = 128
+BLOCK = 256
 _KEEP = 50_000
 #: Pairs of segments.
 _LEFT, _RIGHT = np.triu_indices(SEGMENTS, 1)
@@ -222,9 +222,9 @@ def candidates(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return out + [(a, b) for a, b in tree if a in large]
 
 
-def crowded(pairs: list[tuple[int, int]]) -> list[int]:
-    """Rows of the clusters of which candidates() gives a tree only."""
-    return [k for own in clusters(pairs) if len(own) > ALL_PAIRS for k in own]
+def crowded(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(row, first row of its cluster) of the clusters of which candidates() gives a tree only."""
+    return [(k, own[0]) for own in clusters(pairs) if len(own) > ALL_PAIRS for k in own]
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -245,7 +245,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
 def similar_pairs(distinct: DataFrame, distance: int) -> DataFrame:
     """Candidates (a, b), a below b, among distinct fingerprints (fp, indices, bands): candidates() of each key, some more than once.
 
-    With b null, each fingerprint a of a key (column key) with pairs in reach that are no candidates.
+    With b null, each fingerprint a of a cluster with pairs in reach that are no candidates, and hub, one of the cluster.
     """
 
     def emit(batches):
@@ -263,22 +263,22 @@ def similar_pairs(distinct: DataFrame, distance: int) -> DataFrame:
         import pyarrow as pa
 
         found: set[tuple[bytes, bytes]] = set()
-        rest: list[tuple[bytes, int]] = []
+        rest: set[tuple[bytes, bytes]] = set()
         ahead = np.zeros((0, LANES), dtype=np.uint64)  # of the held key: a sample of its blocks so far
         held_key, held = np.zeros(0, dtype=np.int64), np.zeros((0, LANES), dtype=np.uint64)
 
         def out():
-            a, b, key = [a for a, _ in found] + [a for a, _ in rest], [b for _, b in found] + [None] * len(rest), [None] * len(found) + [k for _, k in rest]
+            a, b, hub = [a for a, _ in found] + [a for a, _ in rest], [b for _, b in found] + [None] * len(rest), [None] * len(found) + [h for _, h in rest]
             found.clear()
             rest.clear()
-            return pa.record_batch([pa.array(a, type=pa.binary()), pa.array(b, type=pa.binary()), pa.array(key, type=pa.int64())], names=["a", "b", "key"])
+            return pa.record_batch([pa.array(a, type=pa.binary()), pa.array(b, type=pa.binary()), pa.array(hub, type=pa.binary())], names=["a", "b", "hub"])
 
-        def block(key, prints):
+        def block(prints):
             """One of several blocks of a key: its tree, and with those before it by their sample. All its texts go to open_links()."""
             both = np.concatenate([ahead, prints])
             add((both[a].tobytes(), both[b].tobytes()) for a, b in candidates(both, distance))
-            rest.extend((p.tobytes(), key) for p in prints)
-            return both[:: -(-len(both) // SAMPLE)]
+            rest.update((p.tobytes(), both[0].tobytes()) for p in prints)
+            return both[:: -(-len(both) // SAMPLE)]  # with the first, which is the hub
 
         def add(pairs):
             found.update((a, b) if a < b else (b, a) for a, b in pairs if a != b)
@@ -286,7 +286,7 @@ def similar_pairs(distinct: DataFrame, distance: int) -> DataFrame:
         def groups(key, prints):
             if len(ahead):
                 first = int(np.searchsorted(key, key[0], "right"))
-                block(int(key[0]), prints[:first])
+                block(prints[:first])
                 key, prints = key[first:], prints[first:]
                 if not len(key):
                     return
@@ -299,7 +299,7 @@ def similar_pairs(distinct: DataFrame, distance: int) -> DataFrame:
                 own = prints[cut[k] : cut[k + 1]]
                 some = candidates(own, distance)
                 pairs += [(cut[k] + a, cut[k] + b) for a, b in some]
-                rest.extend((own[a].tobytes(), int(key[cut[k]])) for a in crowded(some))
+                rest.update((own[a].tobytes(), own[h].tobytes()) for a, h in crowded(some))
             add((prints[a].tobytes(), prints[b].tobytes()) for a, b in pairs)
 
         for batch in batches:
@@ -313,7 +313,7 @@ def similar_pairs(distinct: DataFrame, distance: int) -> DataFrame:
                 ahead = ahead[:0]
             held_key, held = key[last:], prints[last:]
             while len(held) > TREE_BLOCK:
-                ahead = block(int(held_key[0]), held[:TREE_BLOCK])
+                ahead = block(held[:TREE_BLOCK])
                 held_key, held = held_key[TREE_BLOCK:], held[TREE_BLOCK:]
             if len(found) + len(rest) > 100_000:
                 yield out()
@@ -325,7 +325,7 @@ def similar_pairs(distinct: DataFrame, distance: int) -> DataFrame:
 
     parts = shuffle_partitions(distinct.sparkSession)
     keyed = distinct.select("fp", "indices", "bands").mapInArrow(emit, "key long, fp binary")
-    return keyed.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(meet, "a binary, b binary, key long")
+    return keyed.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(meet, "a binary, b binary, hub binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -370,17 +370,20 @@ def tried_apart(fps: list[bytes], roots: list[bytes], sets: list[bytes], distanc
 
 
 def open_links(hot: DataFrame, member: DataFrame, sets: DataFrame, distance: int, similarity: float) -> DataFrame:
-    """Links (a, b) that, with those behind member (node, root), join whatever links of the keys of hot (key, fp) join.
+    """Links (a, b) that, with those behind member (node, root), join whatever links of the clusters of hot (fp, hub) join.
 
-    Keys of which all texts have one root are done. Others are dealt by a hash of
-    the fingerprint into blocks of about BLOCK texts, and each pair of blocks is a
-    group of its own; of it the texts in reach of one with another root are verified.
+    Clusters of different keys that share texts are taken as one, so that a text
+    comes once. Those of which all texts have one root are done. Others are dealt
+    by a hash of the fingerprint into blocks of about BLOCK texts, and each pair of
+    blocks is a group of its own; of it the texts in reach of one with another
+    root are verified.
     """
-    known = hot.join(member.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
-    left = known.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    own = known.join(left.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("fp"), "blocks"))
+    whole = components(hot.select(F.col("fp").alias("a"), F.col("hub").alias("b"))).select(F.col("node").alias("fp"), F.col("root").alias("cluster"))
+    known = settle(whole.join(member.withColumnRenamed("node", "fp"), "fp", "left").select("cluster", "fp", F.coalesce("root", "fp").alias("root")))
+    left = known.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    own = known.join(left.select("cluster", F.ceil(F.col("n") / BLOCK).alias("blocks")), "cluster").withColumn("own", F.pmod(F.xxhash64("fp"), "blocks"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "root")
+    dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "root")
 
     def by_group(batches, width):
         held, at = [[] for _ in range(width)], None
@@ -398,13 +401,13 @@ def open_links(hot: DataFrame, member: DataFrame, sets: DataFrame, distance: int
     def reach(batches):
         import pyarrow as pa
 
-        for (key, i, j), (fps, roots) in by_group(batches, 2):
+        for (cluster, i, j), (fps, roots) in by_group(batches, 2):
             prints = np.frombuffer(b"".join(fps), "<u8").reshape(-1, LANES)
             label = np.unique(np.array([r.hex() for r in roots]), return_inverse=True)[1]
             near = [bool(((np.bitwise_count(prints ^ p).sum(axis=1, dtype=np.int64) <= distance) & (label != l)).any()) for p, l in zip(prints, label)]
             fp, root = ([x for x, y in zip(c, near) if y] for c in (fps, roots))
             if fp:
-                yield pa.record_batch([pa.array([v] * len(fp), type=pa.int64()) for v in (key, i, j)] + [pa.array(fp, type=pa.binary()), pa.array(root, type=pa.binary())], names=["key", "i", "j", "fp", "root"])
+                yield pa.record_batch([pa.array([v] * len(fp), type=t) for v, t in ((cluster, pa.binary()), (i, pa.int64()), (j, pa.int64()))] + [pa.array(fp, type=pa.binary()), pa.array(root, type=pa.binary())], names=["cluster", "i", "j", "fp", "root"])
         tidy()
 
     def judge(batches):
@@ -416,8 +419,8 @@ def open_links(hot: DataFrame, member: DataFrame, sets: DataFrame, distance: int
                 yield pa.record_batch([pa.array([fps[x[k]] for x in links], type=pa.binary()) for k in (0, 1)], names=["a", "b"])
         tidy()
 
-    parts, group = shuffle_partitions(hot.sparkSession), ["key", "i", "j"]
-    some = dealt.repartition(parts, *group).sortWithinPartitions(*group, "fp").mapInArrow(reach, "key long, i long, j long, fp binary, root binary")
+    parts, group = shuffle_partitions(hot.sparkSession), ["cluster", "i", "j"]
+    some = dealt.repartition(parts, *group).sortWithinPartitions(*group, "fp").mapInArrow(reach, "cluster binary, i long, j long, fp binary, root binary")
     whole = settle(some).join(sets, "fp").select(*group, "fp", "root", "shingles")
     return whole.repartition(parts, *group).sortWithinPartitions(*group, "fp").mapInArrow(judge, "a binary, b binary")
 
@@ -457,12 +460,16 @@ def similar_labels(df: DataFrame, id_col: str, text_col: str, shingle: int, simi
     distinct = settle(prints.groupBy("fp").agg(F.min(F.struct(F.coalesce("doc_id", lowest).alias("first_id"), "digest")).alias("first"), F.min("indices").alias("indices"), F.min("bands").alias("bands")).select("fp", "first.first_id", F.col("first.digest").alias("first_digest"), "indices", "bands"))
     distance = allowed_distance(similarity)
     found = settle(similar_pairs(distinct, distance).distinct())
-    pairs, hot = found.where("b is not null").select("a", "b"), found.where("b is null").select("key", F.col("a").alias("fp"))
+    release(df.sparkSession)  # the keys, by far the largest shuffle
+    pairs, hot = found.where("b is not null").select("a", "b"), found.where("b is null").select(F.col("a").alias("fp"), "hub")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(hot.select("fp")).distinct().join(distinct, "fp").select(F.col("first_id").alias("_id"), F.col("first_digest").alias("_digest")).distinct()
     texts = df.select(F.coalesce(col(id_col).cast("long"), lowest).alias("_id"), text_digest(text_col).alias("_digest"), col(text_col).alias("_text"))
     sets = settle(shingle_sets(texts.join(nodes, ["_id", "_digest"], "left_semi"), "_text", shingle))
-    member = settle(components(verified(pairs, sets, similarity)))
+    links = settle(verified(pairs, sets, similarity))
+    release(df.sparkSession)  # a set for each pair
+    member = settle(components(links))
     more = settle(open_links(hot, member, sets, distance, similarity).distinct())
+    release(df.sparkSession)
     if not more.isEmpty():
         member = settle(components(member.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
     return label_members(prints.select("doc_id", "fp", "digest"), distinct.select("fp", "first_id"), member)
