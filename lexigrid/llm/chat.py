@@ -84,23 +84,26 @@ def format_paths(turns: DataFrame, keys: list[str], loss_role: str = "assistant"
 def format_trees(messages: DataFrame, branches: int = 1, loss_role: str = "assistant") -> DataFrame:
     """tree, leaf, rank, score, formatted, loss_spans of the best branches of each reply tree.
 
-    messages: tree, id, parent, role, text, score. Ids are unique in a tree; rows
-    with a null tree or id give no path. An empty table gives no rows.
+    messages: tree, id, parent, role, text, score; other columns are not read. A
+    null tree is a tree like any other. Ids are unique in a tree; rows with a null
+    id give no path, nor do messages on or below a cycle of parents (threads()
+    makes neither). Ties between branches go to the smallest leaf. An empty table
+    gives no rows.
     """
-    nodes = messages.select("tree", "id", "parent", "role", "text", "score").where("tree is not null and id is not null")
+    # structs are equal where both hold null, so that a null tree joins with itself
+    nodes = messages.where("id is not null").select(F.struct("tree").alias("tree"), "id", "parent", "role", "text", "score")
     paths = settle(leaf_paths(nodes))
     best = best_branches(paths, nodes, branches)
     chosen = paths.join(best.select("tree", "leaf"), ["tree", "leaf"], "left_semi")
     turns = chosen.join(nodes.select("tree", "id", "role", "text"), ["tree", "id"]).select("tree", "leaf", (-F.col("hops")).alias("pos"), "role", "text")
-    return best.join(format_paths(turns, ["tree", "leaf"], loss_role), ["tree", "leaf"]).select("tree", "leaf", "rank", "score", "formatted", "loss_spans")
+    return best.join(format_paths(turns, ["tree", "leaf"], loss_role), ["tree", "leaf"]).select("tree.tree", "leaf", "rank", "score", "formatted", "loss_spans")
 
 
 def threads(rows: DataFrame, tree_col: str = "conv_id", order_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Messages of conversations without branches: each answers the one before it.
 
     Order is by order_col (nulls first), then role and text, so ties and repeated
-    rows have a place each. Rows without a conversation are one conversation if
-    tree_col is null: they keep no number and give no path.
+    rows have a place each. Rows whose tree_col is null are one conversation.
     """
     place = F.row_number().over(Window.partitionBy("tree").orderBy(F.col("o").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())).cast("long")
     named = rows.select(col(tree_col).cast("long").alias("tree"), col(order_col).alias("o"), col(role_col).cast("string").alias("role"), col(text_col).cast("string").alias("text"))

@@ -3,7 +3,7 @@
 Each task keeps a memtable of digests and flushes it, when full, as a sorted
 run in which a digest occurs once. The shuffle merges the runs of a digest
 range; compaction keeps one identifier and the row count of each digest. The
-digests of two or more rows ("hits") go into a filter of fixed size. A second
+digests of two or more rows ("hits") go into a filter sized by them. A second
 scan sends only rows that pass the filter, and their texts are compared byte by
 byte. Rows the filter rules out are unique and never move.
 """

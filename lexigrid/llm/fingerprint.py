@@ -52,6 +52,17 @@ def _hashed(df: DataFrame, id_col: str, text_col: str, width: int, keep: DigestF
     return df.select(col(id_col).cast("long"), col(text_col).cast("string")).mapInArrow(run, schema)
 
 
+def suffixes(texts: DataFrame, by: str) -> DataFrame:
+    """digest, `by`, suffix long of the distinct rows (digest, by) whose digest several have; `by` tells texts apart."""
+    several = settle(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"))
+    rank = F.row_number().over(Window.partitionBy("digest").orderBy(by)) - 1
+    return texts.join(several, "digest").select("digest", by, rank.cast("long").alias("suffix"))
+
+
+def suffix_text(suffix):
+    return F.when(suffix > 0, F.concat(F.lit("-"), suffix)).otherwise(F.lit(""))
+
+
 def collisions(df: DataFrame, digests: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 16) -> DataFrame | None:
     """digest, canon, suffix of the different canonical texts that share a digest; None if no two do.
 
@@ -60,12 +71,8 @@ def collisions(df: DataFrame, digests: DataFrame, id_col: str = "doc_id", text_c
     """
     shared = digests.groupBy("digest").count().where("count > 1")
     hits = _hashed(df, id_col, text_col, width, DigestFilter.build(shared, "digest"))
-    texts = hits.groupBy("digest", "canon").count()
-    several = settle(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"))
-    if several.isEmpty():
-        return None
-    rank = F.row_number().over(Window.partitionBy("digest").orderBy("canon")) - 1
-    return settle(texts.join(several, "digest").select("digest", "canon", rank.alias("suffix")))
+    clash = settle(suffixes(hits.select("digest", "canon").distinct(), "canon"))
+    return None if clash.isEmpty() else clash
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 16) -> DataFrame:
@@ -73,8 +80,8 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     32 hexadecimal digits, and -1, -2, ... where different canonical texts share
     them. Null and empty texts, and those of white space, have one fingerprint.
-    Repeated rows and null identifiers keep their rows; other columns are not
-    read; an empty table gives no rows.
+    Texts of any length count whole. Repeated rows and null identifiers keep
+    their rows; other columns are not read; an empty table gives no rows.
     """
     digests = settle(_hashed(df, id_col, text_col, width))
     clash = collisions(df, digests, id_col, text_col, width)
@@ -82,7 +89,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if clash is None:
         return digests.select(F.col("id").alias("doc_id"), plain.alias("fingerprint"))
     whole = _hashed(df, id_col, text_col, width, _Everything())
-    return whole.join(clash, ["digest", "canon"], "left").select(F.col("id").alias("doc_id"), F.concat(plain, F.when(F.col("suffix") > 0, F.concat(F.lit("-"), F.col("suffix"))).otherwise(F.lit(""))).alias("fingerprint"))
+    return whole.join(clash, ["digest", "canon"], "left").select(F.col("id").alias("doc_id"), F.concat(plain, suffix_text(F.col("suffix"))).alias("fingerprint"))
 
 
 class _Everything(DigestFilter):

@@ -3,8 +3,8 @@
 Documents become little-endian 32-bit token ids and are cut into full windows
 and one shorter rest. Pieces are placed longest first, each into the open window
 with the least room that still holds it, which a segment tree over remaining
-room finds in log(window) steps. Pieces are dealt by a hash into shards of
-bounded size that pack on their own, so no task has to hold the corpus.
+room finds in log(window) steps. Pieces are dealt into shards that pack on their
+own; a task streams its shards and holds one block of pieces at a time.
 """
 
 from __future__ import annotations
@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexigrid.llm.common import col, tidy
+from lexigrid.llm.common import col, shuffle_partitions, tidy
 
 WINDOW = 2048
 SHARD_ROWS = 8192
 #: Words, and runs of characters, whose ids a Python worker keeps: about 200 MB. Fewer take less memory and more time.
 KEEP = 400_000
+#: Bytes of ids in a batch that a Python worker hands over.
+_BATCH_BYTES = 4 << 20
 
 
 class RoomTree:
@@ -85,28 +87,34 @@ def vocabulary(name: str) -> str:
 
 
 class WordBpe:
-    """UTF-8 text -> little-endian 32-bit ids, as the `tokenizers` library gives them without special tokens.
+    """UTF-8 text -> little-endian 32-bit ids, as the `tokenizers` library gives them with add_special_tokens=False.
 
     The file's pre-tokenizer never joins across white space, so each blank-free
     run is encoded once and kept, and a document is a join of kept bytes. Runs
     of Latin-1 characters go through the same merges in a byte-pair engine that
     takes the end-of-word mark as a byte that UTF-8 never has; all others go
-    through the library itself. Names of special tokens are ordinary text.
+    through the library itself, as do runs with the name of a special token. Such
+    a name in a text becomes the special token's id, as in the library; with
+    plain_names it is ordinary text.
     """
 
     _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc\xbd\xbe]+|[\d\xb2\xb3\xb9\xbc\xbd\xbe]|(?:[^\s\w]|_)+")
-    _ODD = re.compile("[\x1c-\x1f\x85\xa0]|[^\x00-\xff]")
+    _ODD = "[\x1c-\x1f\x85\xa0]|[^\x00-\xff]"
 
-    def __init__(self, path: str, keep: int = KEEP):
+    def __init__(self, path: str, keep: int = KEEP, plain_names: bool = False):
         import json
 
         import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = plain_names
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            model = json.load(f)
+        vocab, names = model["model"]["vocab"], [] if plain_names else [t["content"] for t in model["added_tokens"]]
+        if any(re.search(r"\s", n) for n in names):
+            raise ValueError("a special token's name holds white space")
+        self.odd = re.compile("|".join([self._ODD, *map(re.escape, names)]))
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
         ranks = {}
@@ -136,7 +144,7 @@ class WordBpe:
         import numpy as np
 
         text = raw.decode("utf-8", "replace")
-        if self._ODD.search(text):
+        if self.odd.search(text):
             own = np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         else:
             words = self.words
@@ -152,15 +160,17 @@ class WordBpe:
         return b"".join([runs.get(r) or self._run(r) for r in raw.split()])
 
 
-_LOADED: dict[tuple[str, int], WordBpe] = {}
+_LOADED: dict[tuple[str, int, bool], WordBpe] = {}
 
 
-def tokenize_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, window: int = WINDOW, end_id: int = 1, keep: int = KEEP) -> DataFrame:
+def tokenize_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, window: int = WINDOW, end_id: int = 1, keep: int = KEEP, plain_names: bool = False) -> DataFrame:
     """Pieces of each row of df: doc_id, start long, length long, doc_tokens long, ids binary (little-endian 32-bit).
 
-    The row's text is encoded whole, end_id follows, and the ids are cut every
-    window ids. A null or empty text is the end_id alone. A null identifier
-    stays null; repeated rows each give their own pieces.
+    The row's text is encoded whole, however long, end_id follows, and the ids
+    are cut every window ids. A null or empty text is the end_id alone. A null
+    identifier stays null; repeated rows each give their own pieces. Other
+    columns of df are not read, whatever their names. An empty table gives no
+    rows. plain_names: names of special tokens are ordinary text.
     """
     path = tokenizer_path or vocabulary("word_bpe_49k.json")
     step = 4 * window
@@ -168,7 +178,8 @@ def tokenize_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def cut(batches):
         import pyarrow as pa
 
-        bpe = _LOADED.get((path, keep)) or _LOADED.setdefault((path, keep), WordBpe(path, keep))
+        own = path, keep, plain_names
+        bpe = _LOADED.get(own) or _LOADED.setdefault(own, WordBpe(*own))
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             out = ([], [], [], [], [])
@@ -177,14 +188,14 @@ def tokenize_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             def full():
                 return pa.record_batch([pa.array(c, type=t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
-            for ident, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = bpe.encode(raw or b"") + end
+            for ident, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = bpe.encode(raw.as_py() or b"") + end
                 for at in range(0, len(ids), step):
                     part = ids[at : at + step]
                     for held, x in zip(out, (ident, at // 4, len(part) // 4, len(ids) // 4, part)):
                         held.append(x)
                 size += len(ids)
-                if size > 8_000_000:
+                if size > _BATCH_BYTES:
                     yield full()
                     out, size = ([], [], [], [], []), 0
             if out[0]:
@@ -199,53 +210,75 @@ def pack_pieces(pieces: DataFrame, window: int = WINDOW, shard_rows: int = SHARD
     """pieces with sequence_id, offset, sequence_tokens and padded_tokens long added; every other column stays.
 
     `length` is 1 to window. Pieces are dealt into about rows / shard_rows
-    shards by a hash of doc_id and start, so equal inputs pack alike. A sequence
-    is padded to the window unless its own length is a power of two. rows: about
-    how many pieces there are, counted here if not given; it only sets the
-    number of shards. An empty table gives no rows.
+    shards, which go to spark.sql.shuffle.partitions tasks at most. Each row is
+    dealt by its own number, so neither null nor repeated identifiers make a
+    shard large; a shard of more than twice shard_rows is packed in blocks. In a
+    shard pieces of equal length go by doc_id (null last) and start; rows equal in
+    all of these stand for each other, in any order. A sequence is padded to the
+    window unless its own length is a power of two. rows: about how many pieces
+    there are, counted here if not given; it only sets the number of shards. An
+    empty table gives no rows.
     """
     own = pieces.columns
     clash = {"sequence_id", "offset", "sequence_tokens", "padded_tokens", "_shard"} & {c.lower() for c in own}
     if clash:
         raise ValueError(f"these columns are made here: {sorted(clash)}")
     shards = max(1, -(-(pieces.count() if rows is None else rows) // shard_rows))
-    at = own.index("length")
+    doc_at, start_at, length_at = (own.index(c) for c in ("doc_id", "start", "length"))
 
-    def place(batches):
+    def placed(shard: int, base: int, held: list):
+        """The batches of one block with their places; ids stay where they are."""
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        tables: dict[int, list] = {}
+        keys = pa.table([pa.chunked_array([b.column(k) for b in held]) for k in (doc_at, start_at, length_at)], names=["doc", "start", "length"])
+        order = pc.sort_indices(keys, sort_keys=[(c, "ascending") for c in keys.column_names]).to_numpy()
+        lengths = keys.column("length").to_numpy()
+        put = np.zeros((len(lengths), 2), dtype=np.int64)
+        put[order] = best_fit_decreasing(lengths[order].tolist(), window)
+        used = np.zeros(put[:, 0].max() + 1, dtype=np.int64)
+        np.add.at(used, put[:, 0], lengths)
+        total = used[put[:, 0]]
+        padded = np.where(total & (total - 1) == 0, total, window)
+        at = 0
+        for batch in held:
+            rows = slice(at, at + batch.num_rows)
+            at += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], *(pa.array(v[rows]) for v in ((shard << 32) + base + put[:, 0], put[:, 1], total, padded))], names=[*own, "sequence_id", "offset", "sequence_tokens", "padded_tokens"])
+
+    def place(batches):
+        import numpy as np
+
+        now, base, held, rows = None, 0, [], 0
         for batch in batches:
             shard = batch.column(len(own)).to_numpy(zero_copy_only=False)
-            for s in np.unique(shard).tolist():
-                tables.setdefault(s, []).append(batch.filter(pa.array(shard == s)))
-        for s in sorted(tables):
-            held = pa.Table.from_batches(tables.pop(s)).drop_columns(["_shard"])
-            held = held.take(pc.sort_indices(held, sort_keys=[("doc_id", "ascending"), ("start", "ascending")]))
-            lengths = held.column(at).to_pylist()
-            put = best_fit_decreasing(lengths, window)
-            used: dict[int, int] = defaultdict(int)
-            for (w, _), length in zip(put, lengths):
-                used[w] += length
-            total = [used[w] for w, _ in put]
-            for name, values in (("sequence_id", [(s << 32) + w for w, _ in put]), ("offset", [o for _, o in put]), ("sequence_tokens", total), ("padded_tokens", [u if u & (u - 1) == 0 else window for u in total])):
-                held = held.append_column(name, pa.array(values, type=pa.int64()))
-            yield from held.to_batches(max_chunksize=1024)
+            cuts = [0, *(np.nonzero(np.diff(shard))[0] + 1).tolist(), len(shard)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if held and (shard[a] != now or rows >= 2 * shard_rows):
+                    yield from placed(now, base, held)
+                    base = base + rows if shard[a] == now else 0
+                    held, rows = [], 0
+                now = int(shard[a])
+                held.append(batch.slice(a, b - a))
+                rows += b - a
+        if held:
+            yield from placed(now, base, held)
         tidy()
 
     added = [T.StructField(c, T.LongType()) for c in ("sequence_id", "offset", "sequence_tokens", "padded_tokens")]
-    shard = F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)).cast("int")
-    dealt = pieces.withColumn("_shard", shard).repartition(shards, "_shard")
+    shard = F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(shards)).cast("int")
+    dealt = pieces.withColumn("_shard", shard).repartition(min(shards, shuffle_partitions(pieces.sparkSession)), "_shard").sortWithinPartitions("_shard")
     return dealt.mapInArrow(place, T.StructType([*pieces.schema.fields, *added]))
 
 
-def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, window: int = WINDOW, end_id: int = 1, shard_rows: int = SHARD_ROWS, keep: int = KEEP) -> DataFrame:
+def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, window: int = WINDOW, end_id: int = 1, shard_rows: int = SHARD_ROWS, keep: int = KEEP, plain_names: bool = False) -> DataFrame:
     """tokenize_pieces, then pack_pieces, with the ids of every piece."""
     size = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(col(text_col))), F.lit(0)).alias("bytes")).first()
     rows = size["n"] + size["bytes"] // (3 * window)
-    return pack_pieces(tokenize_pieces(df, id_col, text_col, tokenizer_path, window, end_id, keep), window, shard_rows, rows)
+    return pack_pieces(tokenize_pieces(df, id_col, text_col, tokenizer_path, window, end_id, keep, plain_names), window, shard_rows, rows)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

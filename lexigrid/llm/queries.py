@@ -7,17 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.llm import chat, exact_dedup, fingerprint, langid, packing, secrets, sentencepiece, simhash, token_counts, url_filter
+from lexigrid.llm import pipeline as stages
 from lexigrid.llm.common import settle, shuffle_partitions, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place; tests/llm/test_text_operators.py holds it against a plain version."""
     docs = table(spark, sf_dir, "documents")
     pieces = packing.tokenize_pieces(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.pack_pieces(settle(pieces))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every document, and the digest of the text they decode to."""
+    """Ids of every document, and the digest of the text they decode to; tests/llm/test_text_operators.py holds it against the library."""
 
     encoded = sentencepiece.encode(table(spark, sf_dir, "documents"))
     whole = encoded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), "ids")
@@ -67,30 +69,35 @@ def _op3_sql() -> str:
 
 
 def edited_fingerprints(docs: DataFrame, width: int = 16) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of documents in the order of doc_id (then text).
-
-    Texts move once, by ranges of doc_id. A partition's last document meets the
-    first of the next partition that has any in a second, small step.
+    """doc_id, n_chars, edited_sha256, digest, edited_digest, sha, edited_sha, near_edited, near_next of documents in the order of doc_id (then text).
+
+    sha and edited_sha are SHA-256 digests of the canonical texts, which tell
+    texts apart whose shorter digests meet. Null texts are empty, a null doc_id
+    is the first, and rows repeated in doc_id and text follow one another; each
+    row gets one. Texts move once, by ranges of doc_id. A partition's last document
+    meets the first of the next partition that has any in a second, small step.
+    An empty table gives no rows.
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ordered = own.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    names = ["part", "edge", "doc_id", "text", "n_chars", "edited_sha256", "digest", "edited_digest", "near_edited", "near_next"]
-    schema = "part long, edge string, doc_id long, text string, n_chars long, edited_sha256 string, digest binary, edited_digest binary, near_edited double, near_next double"
+    schema = "part long, edge string, doc_id long, text string, n_chars long, edited_sha256 string, digest binary, edited_digest binary, sha binary, edited_sha binary, near_edited double, near_next double"
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def judged(text: str, canon: str, after: str, after_canon: str):
         import hashlib
 
+        sha = lambda t: hashlib.sha256(t.encode("utf-8", "replace"))
         n = len(text)
         k = n // 4
         edited = text[: n - k] + after[:k]
         edited_canon = canon if edited == text else fingerprint.canonical(edited)
-        return n, hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(), fingerprint.wide_hash(canon, width), fingerprint.wide_hash(edited_canon, width), float(canon == edited_canon), float(canon == after_canon)
+        return n, sha(edited).hexdigest(), fingerprint.wide_hash(canon, width), fingerprint.wide_hash(edited_canon, width), sha(canon).digest(), sha(edited_canon).digest(), float(canon == edited_canon), float(canon == after_canon)
 
     def batch_of(rows):
         import pyarrow as pa
 
-        types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
+        types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), *[pa.binary()] * 4, pa.float64(), pa.float64())
         return pa.record_batch([pa.array(c, type=t) for c, t in zip(zip(*rows), types)], names=names)
 
     def within(batches):
@@ -99,7 +106,7 @@ def edited_fingerprints(docs: DataFrame, width: int = 16) -> DataFrame:
             for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 canon = fingerprint.canonical(text)
                 if held is None:
-                    out.append((part, "first", ident, text, None, None, None, None, None, None))
+                    out.append((part, "first", ident, text, *[None] * 8))
                 else:
                     out.append((part, None, held[0], None, *judged(held[1], held[2], text, canon)))
                 held = ident, text, canon
@@ -107,7 +114,7 @@ def edited_fingerprints(docs: DataFrame, width: int = 16) -> DataFrame:
                 yield batch_of(out)
                 out = []
         if held is not None:
-            yield batch_of([(part, "last", held[0], held[1], None, None, None, None, None, None)])
+            yield batch_of([(part, "last", held[0], held[1], *[None] * 8)])
 
     def across(batches):
         for batch in batches:
@@ -124,22 +131,26 @@ def edited_fingerprints(docs: DataFrame, width: int = 16) -> DataFrame:
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str, width: int = 16) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = settle(edited_fingerprints(docs, width))
+    """Fingerprints of every text and its edited one; tests/llm/test_text_operators.py holds them against a plain version."""
+    found = settle(edited_fingerprints(table(spark, sf_dir, "documents"), width))
+    kinds = found.select("digest", "sha").unionByName(found.select(F.col("edited_digest").alias("digest"), F.col("edited_sha").alias("sha"))).distinct()
+    clash = settle(fingerprint.suffixes(kinds, "sha"))
     shown = lambda c: F.lower(F.hex(c))
-    out = found.select("doc_id", "n_chars", "edited_sha256", shown("digest").alias("fingerprint"), shown("edited_digest").alias("edited_fingerprint"), "near_edited", "near_next")
-    if fingerprint.collisions(docs, found.select("digest"), width=width) is None:
-        return out
-    # different canonical texts share a 128-bit hash: their suffixes come from the bytes
-    exact = fingerprint.fingerprints(docs, width=width).distinct()
-    return out.drop("fingerprint").join(exact, "doc_id")
+    named = {"digest": shown("digest"), "edited_digest": shown("edited_digest")}
+    if not clash.isEmpty():
+        for digest, sha in (("digest", "sha"), ("edited_digest", "edited_sha")):
+            found = found.join(clash.select(F.col("digest").alias(digest), F.col("sha").alias(sha), F.col("suffix").alias(f"{digest}_suffix")), [digest, sha], "left")
+            named[digest] = F.concat(named[digest], fingerprint.suffix_text(F.col(f"{digest}_suffix")))
+    return found.select("doc_id", "n_chars", "edited_sha256", named["digest"].alias("fingerprint"), named["edited_digest"].alias("edited_fingerprint"), "near_edited", "near_next")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word-piece lengths of every document; tests/llm/test_text_operators.py holds them against greedy matching."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens")
 
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document; tests/llm/test_text_operators.py holds all columns against plain Python."""
     found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = lambda r: F.size(F.filter("secrets", lambda s: s["rank"] == r)).cast("long")
     base = secrets.named_spans(F.col("secrets"), (0, 1, 2))
@@ -156,17 +167,20 @@ from documents window w as (partition by coalesce(text, ''))"""
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of every document; tests/llm/test_dedup.py holds all columns against brute force."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; tests/llm/test_text_operators.py asks for 0.98 right of the held-out ones."""
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(langid.may_train()))
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", (~langid.may_train()).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, formatted and read back. Each is a chain, so its one branch is chosen; rows without a conv_id are one conversation."""
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
@@ -189,7 +203,7 @@ OP10_SQL = r"""
 with rows as (select conv_id, turn, role, text from conversations
     union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
 named as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) pos,
-    role is not distinct from 'assistant' loss, coalesce(role, '') role, coalesce(text, '') text from rows where conv_id is not null),
+    role is not distinct from 'assistant' loss, coalesce(role, '') role, coalesce(text, '') text from rows),
 sized as (select *, length(replace(replace(text, '\', '\\'), '<|', '<\|')) + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\/')) + 12 + 1 + 11 n from named)
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by pos)) as turns_sha256,
     coalesce(sum(case when loss then length(text) end), 0)::bigint as loss_chars,
@@ -198,9 +212,8 @@ from sized group by conv_id"""
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    """The corpus pipeline; tests/llm/test_chat_and_pipeline.py holds it against a plain version."""
+    return stages.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_sentencepiece, op3_url_filters, op4_fingerprints, op5_token_counts, op6_secret_scans, op7_exact_dedup, op8_simhash, op9_language_id, op10_chat_formatting, pipeline)}

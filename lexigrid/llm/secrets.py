@@ -3,9 +3,12 @@
 Three patterns find assignments, access keys and long hexadecimal runs. Beyond
 these, every run of 20 or more key characters is scored by two first-order
 Markov models of characters, one fitted on random strings and one on ordinary
-identifiers, numbers, paths and words; a run whose log-likelihood ratio, and its
-mean over the characters, pass bars set on held-out samples is a secret as well.
-Both models are fitted on samples that this module makes, SAMPLES of each kind.
+identifiers, numbers, paths and words. A run is a secret as well if its
+log-likelihood ratio, and that over its pairs of characters, pass bars set on
+held-out samples, or if a stretch of it between separators does, by bars of its own.
+
+MarkovRatio.train() fits the models on labelled rows; default_model() on samples
+that this module makes, SAMPLES of each kind.
 
 Offsets are code points, end exclusive. A text is never shuffled: splitting by a
 pattern gives the gaps, extracting gives the matches, and running sums of their
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from functools import cache
 
 from pyspark.sql import Column, DataFrame
@@ -29,11 +33,14 @@ ASSIGN = rf"""({_WORD})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 RUN = "[A-Za-z0-9+/_=-]{20,}"
+#: What runs are cut at, and how long a stretch is judged on its own.
+SEPARATORS, STRETCH = "[+/_=-]", 16
 KINDS = ("assign", "access", "hex", "random")
 SAMPLES = 3000
 _UNIT = 64  # scores are whole numbers of 1/64 nat
 _BLOCK = 256
 
+#: Frequent English words, words of programs, and words and word parts of German, French and Spanish, for the made samples.
 _COMMON = (
     "the of and to in is that for with was this from have are not but all any can had her one our out day get has him his how man new now old see two way who boy did its let put say she too use "
     "time year people work first even good look world life over think also back after well because most where right being there should could would their which about other than then them these some into only "
@@ -75,17 +82,33 @@ def _random(rng: random.Random) -> str:
 
 
 class MarkovRatio:
-    """Log-likelihood ratio, random against ordinary, of each pair of ASCII characters."""
-
-    def __init__(self, samples: int = SAMPLES, seed: int = 11):
-        rng = random.Random(seed)
-        good, bad = [_ordinary(rng) for _ in range(2 * samples)], [_random(rng) for _ in range(2 * samples)]
-        ordinary, chance = self._logs(good[::2]), self._logs(bad[::2])
-        self.table = [round(_UNIT * (c - o)) for o, c in zip(ordinary, chance)]
-        held = [(self.score(s), len(s) - 1) for s in good[1::2]]
-        rank = int(0.999 * len(held))
-        self.bar = max(0, sorted(s for s, _ in held)[rank])
-        self.mean = max(_UNIT // 2, sorted(s // n for s, n in held)[rank])
+    """Log-likelihood ratio, random against ordinary, of each pair of ASCII characters.
+
+    ordinary, chance: labelled samples, runs of key characters. Every second one
+    is held out to set the bars: `tolerance` of the ordinary ones may pass each.
+    """
+
+    def __init__(self, ordinary: list[str], chance: list[str], tolerance: float = 0.001):
+        logs = self._logs(ordinary[::2]), self._logs(chance[::2])
+        self.table = [round(_UNIT * (c - o)) for o, c in zip(*logs)]
+        held = ordinary[1::2]
+        self.bar, self.mean = self._bars(held, tolerance)
+        self.part_bar, self.part_mean = self._bars([p for s in held for p in re.split(SEPARATORS, s) if len(p) >= STRETCH], tolerance)
+
+    @staticmethod
+    def train(labelled: DataFrame, text_col: str = "text", label_col: str = "secret", max_rows: int = 20_000, tolerance: float = 0.001) -> "MarkovRatio":
+        """Fitted on max_rows labelled strings at most (label true or 1: random), those with the least hashes; nulls in either column are left out."""
+        rows = labelled.where(col(text_col).isNotNull() & col(label_col).isNotNull()).select(col(text_col).cast("string").alias("t"), col(label_col).cast("boolean").alias("y"))
+        some = rows.orderBy(F.xxhash64("t"), "t", "y").limit(max_rows).collect()
+        return MarkovRatio([r["t"] for r in some if not r["y"]], [r["t"] for r in some if r["y"]], tolerance)
+
+    def _bars(self, held: list[str], tolerance: float) -> tuple[int, int]:
+        """The score, and the score over the pairs, that all but `tolerance` of the held-out strings stay at or below."""
+        scored = [(self.score(s), len(s) - 1) for s in held if len(s) > 1]
+        if not scored:
+            return 0, _UNIT // 2
+        rank = int((1 - tolerance) * (len(scored) - 1))
+        return max(0, sorted(s for s, _ in scored)[rank]), max(_UNIT // 2, sorted(s // n for s, n in scored)[rank])
 
     @staticmethod
     def _logs(samples: list[str]) -> list[float]:
@@ -103,16 +126,22 @@ class MarkovRatio:
         return out
 
     def score(self, run: str) -> int:
-        return sum(self.table[128 * ord(a) + ord(b)] for a, b in zip(run, run[1:]))
+        return sum(self.table[128 * ord(a) + ord(b)] for a, b in zip(run, run[1:]) if ord(a) < 128 and ord(b) < 128)
 
     def is_secret(self, run: str) -> bool:
-        s = self.score(run)
-        return s > self.bar and s > self.mean * (len(run) - 1)
+        over = lambda s, bar, mean: self.score(s) > max(bar, mean * (len(s) - 1))
+        return over(run, self.bar, self.mean) or any(over(p, self.part_bar, self.part_mean) for p in re.split(SEPARATORS, run) if len(p) >= STRETCH)
+
+
+def made_samples(samples: int = SAMPLES, seed: int = 11) -> tuple[list[str], list[str]]:
+    """Ordinary and random strings, 2 * samples of each."""
+    rng = random.Random(seed)
+    return [_ordinary(rng) for _ in range(2 * samples)], [_random(rng) for _ in range(2 * samples)]
 
 
 @cache
 def default_model() -> MarkovRatio:
-    return MarkovRatio()
+    return MarkovRatio(*made_samples())
 
 
 def _running(values: Column, step, zero: int) -> Column:
@@ -144,25 +173,32 @@ def _is_random(model: MarkovRatio):
     # a literal array once constants are folded
     table = F.split(F.lit(",".join(map(str, model.table))), ",").cast("array<int>")
 
-    def keep(body: Column) -> Column:
+    def over(body: Column, bar: int, mean: int) -> Column:
         codes = F.transform(F.split(body, ""), F.ascii)
         n = F.length(body) - 1
         steps = F.zip_with(F.slice(codes, F.lit(1), n), F.slice(codes, F.lit(2), n), lambda a, b: F.element_at(table, a * 128 + b + 1).cast("bigint"))
         score = F.aggregate(steps, F.lit(0).cast("bigint"), lambda a, x: a + x)
-        return (score > model.bar) & (score > n * model.mean)
+        return (score > bar) & (score > n * mean)
+
+    def keep(body: Column) -> Column:
+        parts = F.filter(F.split(body, SEPARATORS), lambda p: F.length(p) >= STRETCH)
+        return over(body, model.bar, model.mean) | F.exists(parts, lambda p: over(p, model.part_bar, model.part_mean))
 
     return keep
 
 
 def _all_spans(text: Column, model: MarkovRatio) -> Column:
     every = F.lit(True)
-    kinds = [
-        _matched(text, ASSIGN, 0, lambda b: b.rlike(f"^({_WORD})" + r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}$""")),
+    runs = [
         _matched(text, ACCESS, 1, lambda b: every),
         _matched(text, HEX, 2, lambda b: every),
         _matched(text, RUN, 3, _is_random(model)),
     ]
-    return F.array_sort(F.transform(F.concat(*kinds), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"))))
+    assigned = _matched(text, ASSIGN, 0, lambda b: b.rlike(f"^({_WORD})" + r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}$"""))
+    none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,body:string>>")
+    # what these three match lies in a run, which most texts have none of
+    found = F.concat(F.when(text.rlike(ASSIGN), assigned).otherwise(none), F.when(text.rlike(RUN), F.concat(*runs)).otherwise(none))
+    return F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"))))
 
 
 def find_secrets(df: DataFrame, text_col: str = "text", spans: str = "secrets", model: MarkovRatio | None = None) -> DataFrame:
@@ -185,7 +221,12 @@ def named_spans(spans: Column, ranks: tuple[int, ...] = (0, 1, 2, 3)) -> Column:
 
 
 def redact_secrets(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]", model: MarkovRatio | None = None) -> DataFrame:
-    """df with every secret in its text replaced by `mark`; touching or overlapping secrets become one. All rows stay, and texts without secrets stay as they are."""
+    """df with every secret in its text replaced by `mark`; touching or overlapping secrets become one.
+
+    All rows stay, repeated ones too, and texts without secrets, null and empty
+    ones among them, stay as they are. Texts of any length are scanned whole. The
+    other columns pass through, whatever their names. An empty table gives no rows.
+    """
     name = free_name(df, "_secrets")
     found = find_secrets(df, text_col, name, model)
     text, spans = F.coalesce(col(text_col), F.lit("")), F.col(name)

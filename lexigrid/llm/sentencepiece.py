@@ -27,6 +27,8 @@ from lexigrid.llm.common import col, settle
 
 CHUNK = 16_384
 GIANT = 32_768
+#: Chunks whose matrices are combined in one group.
+BLOCK = 256
 BLANK = "▁"
 
 
@@ -276,41 +278,43 @@ def _encode_giants(giants: DataFrame, model_path: str | None, chunk: int) -> Dat
     chunks = keyed.select("doc_id", "key", "n", "text").mapInArrow(cut, chunk_schema)
     chunks = settle(chunks.repartition(F.coalesce("doc_id", F.lit(0)), "key", "k"))
 
+    edge = "le long, ls string, re long, rs string"
+
     def matrices(batches):
         import pyarrow as pa
 
         bpe = _bpe(model_path)
         for batch in batches:
-            out = ([], [], [], [], [], [], [], [], [])
+            out = ([], [], [], [], [], [], [])
             for ident, key, _, k, last, a, b, part in zip(*(c.to_pylist() for c in batch.columns)):
                 for (le, ls), (re_, rs) in bpe.transfer(part, a, b, k == 0):
                     if not last or re_ == 0:
-                        for held, x in zip(out, (ident, key, k, last, le, ls, re_, rs, 0)):
+                        for held, x in zip(out, (ident, key, k, le, ls, re_, rs)):
                             held.append(x)
-            types = (pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.string())
-            yield pa.record_batch([pa.array(c, type=t) for c, t in zip(out, types)], names=["doc_id", "key", "k", "last", "le", "ls", "re", "rs"])
-
-    def route(pdf):
-        import pandas as pd
-
-        first = pdf.iloc[0]
-        steps: dict[int, dict] = {}
-        for k, le, ls, re_, rs in zip(pdf["k"], pdf["le"], pdf["ls"], pdf["re"], pdf["rs"]):
-            steps.setdefault(int(k), {}).setdefault((int(le), ls), set()).add((int(re_), rs))
-        matrix = [steps[k] for k in sorted(steps)]
-        # reach[k]: the states at the left boundary of chunk k that the start reaches; scan() combines in a tree
-        reach = [{(0, "")}]
-        for total in _scan(matrix):
-            reach.append(set().union(*(total.get(s, set()) for s in [(0, "")])))
-        (state,) = reach[-1]
-        rows = []
-        for k in range(len(matrix) - 1, -1, -1):
-            (before,) = [s for s, to in matrix[k].items() if s in reach[k] and state in to]
-            rows.append((first["doc_id"], first["key"], k, *before, *state))
-            state = before
-        return pd.DataFrame(rows, columns=["doc_id", "key", "k", "le", "ls", "re", "rs"])
-
-    routes = chunks.mapInArrow(matrices, "doc_id long, key string, k long, last boolean, le long, ls string, re long, rs string").groupBy("doc_id", "key").applyInPandas(route, "doc_id long, key string, k long, le long, ls string, re long, rs string")
+            types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
+            yield pa.record_batch([pa.array(c, type=t) for c, t in zip(out, types)], names=["doc_id", "key", "k", "le", "ls", "re", "rs"])
+
+    def whole_block(pdf):
+        """A block of chunks as one matrix."""
+        return _edge_rows(pdf, [("block", pdf["block"].iloc[0])], _scan(_matrices(pdf, "k")[1])[-1])
+
+    def block_route(pdf):
+        """The states at both boundaries of each block, of the path from the text's start to its end."""
+        blocks, steps = _matrices(pdf, "block")
+        (end,) = _scan(steps)[-1][0, ""]
+        return _route_rows(pdf, "block", blocks, steps, (0, ""), end)
+
+    def chunk_route(pdf, ends):
+        """The same of each chunk of a block, given the block's."""
+        chunks, steps = _matrices(pdf, "k")
+        first = ends.iloc[0]
+        return _route_rows(pdf, "k", chunks, steps, (int(first["le"]), first["ls"]), (int(first["re"]), first["rs"]))
+
+    # a scan in two levels: no task has more than BLOCK matrices of a text, or one for each block of it
+    steps = settle(chunks.mapInArrow(matrices, f"doc_id long, key string, k long, {edge}").withColumn("block", F.expr(f"k div {BLOCK}")))
+    whole = steps.groupBy("doc_id", "key", "block").applyInPandas(whole_block, f"doc_id long, key string, block long, {edge}")
+    ends = whole.groupBy("doc_id", "key").applyInPandas(block_route, f"doc_id long, key string, block long, {edge}")
+    routes = steps.groupBy("doc_id", "key", "block").cogroup(ends.groupBy("doc_id", "key", "block")).applyInPandas(chunk_route, f"doc_id long, key string, k long, {edge}")
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["key"] == b["key"]) & (a["k"] == b["k"])
     ready = chunks.join(routes, same(chunks, routes)).select(chunks["doc_id"], chunks["key"], "n", chunks["k"], "a", "b", "part", "le", "ls", "re", "rs")
 
@@ -322,10 +326,49 @@ def _encode_giants(giants: DataFrame, model_path: str | None, chunk: int) -> Dat
             ids = [bpe.backtrace(part, a, b, (le, ls), (re_, rs)) for a, b, part, le, ls, re_, rs in zip(*(batch.column(k).to_pylist() for k in range(4, 11)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ids, type=pa.binary())], names=["doc_id", "key", "n", "k", "ids"])
 
+    def join_parts(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at, (ident, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                ids = b"".join(p["ids"] for p in batch.column(2)[at].as_py())
+                for _ in range(n):
+                    yield pa.record_batch([pa.array([ident], type=pa.int64()), pa.array([ids], type=pa.binary())], names=["doc_id", "ids"])
+
     traced = ready.mapInArrow(trace, "doc_id long, key string, n long, k long, ids binary")
     joined = traced.groupBy("doc_id", "key", "n").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts"))
-    flat = joined.select("doc_id", F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["ids"])), "")).alias("ids"), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
-    return flat.select("doc_id", "ids")
+    return joined.select("doc_id", "n", "parts").mapInArrow(join_parts, "doc_id long, ids binary")
+
+
+def _matrices(pdf, number: str) -> tuple[list[int], list[dict]]:
+    """The numbers in order, and the matrix of each: state -> set of states."""
+    steps: dict[int, dict] = {}
+    for k, le, ls, re_, rs in zip(pdf[number], pdf["le"], pdf["ls"], pdf["re"], pdf["rs"]):
+        steps.setdefault(int(k), {}).setdefault((int(le), ls), set()).add((int(re_), rs))
+    return sorted(steps), [steps[k] for k in sorted(steps)]
+
+
+def _edge_rows(pdf, more: list[tuple], matrix: dict):
+    import pandas as pd
+
+    rows = [(*left, *right) for left, to in matrix.items() for right in to]
+    out = pd.DataFrame(rows, columns=["le", "ls", "re", "rs"])
+    for name, value in (*more, ("key", pdf["key"].iloc[0]), ("doc_id", pdf["doc_id"].iloc[0])):
+        out.insert(0, name, value)
+    return out
+
+
+def _route_rows(pdf, number: str, numbers: list[int], steps: list[dict], start: tuple[int, str], state: tuple[int, str]):
+    """For each matrix the states before and after it, on the one path from start to state: prefix products, then backwards."""
+    import pandas as pd
+
+    reach = [{start}, *(total.get(start, set()) for total in _scan(steps))]
+    rows = []
+    for at in range(len(steps) - 1, -1, -1):
+        (before,) = [s for s, to in steps[at].items() if s in reach[at] and state in to]
+        rows.append((pdf["doc_id"].iloc[0], pdf["key"].iloc[0], numbers[at], *before, *state))
+        state = before
+    return pd.DataFrame(rows, columns=["doc_id", "key", number, "le", "ls", "re", "rs"])
 
 
 def _product(left: dict, right: dict) -> dict:

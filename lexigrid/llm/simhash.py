@@ -261,5 +261,5 @@ def near_labels(df: DataFrame, id_col: str, text_col: str, shingle: int, seed: i
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """The rows of df, with all their columns, of the least document of each component, by identifier, then text; of repeated rows one stays."""
+    """The rows of df, with all their columns, of the least document of each component, by identifier (null first), then text; of rows equal in both one stays. An empty table gives no rows."""
     return keep_least(df, near_labels(df, id_col, text_col, shingle, seed), id_col, text_col)

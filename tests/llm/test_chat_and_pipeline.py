@@ -36,9 +36,9 @@ def test_trees_against_depth_first_search(spark):
         for k in range(rng.choice((1, 2, 9, 40))):
             parent = None if not k else rng.choice((rng.randrange(k), k - 1, k - 1, 999))
             rows.append((tree, k, parent, rng.choice(("user", "assistant", None, "a\nb\\/")), rng.choice(TEXTS), rng.choice((None, 0.5, 1.0, -2.0)), "clash"))
-    rows += [(50, 1, 2, "user", "cycle", 1.0, ""), (50, 2, 1, "user", "cycle", 1.0, ""), (50, 3, 2, "user", "below a cycle", 1.0, ""), (51, 1, 1, "user", "its own parent", 0.0, ""), (None, 1, None, "user", "", 0.0, ""), (52, None, None, "user", "", 0.0, "")]
+    rows += [(50, 1, 2, "user", "cycle", 1.0, ""), (50, 2, 1, "user", "cycle", 1.0, ""), (50, 3, 2, "user", "below a cycle", 1.0, ""), (51, 1, 1, "user", "its own parent", 0.0, ""), (None, 1, None, "user", "", 0.0, ""), (None, 2, 1, "assistant", "in no tree", 1.0, ""), (52, None, None, "user", "", 0.0, "")]
     got = chat.format_trees(spark.createDataFrame(rows, MESSAGES), branches=2).collect()
-    nodes = {(t, i): (p, r, x, s or 0.0) for t, i, p, r, x, s, _ in rows if t is not None and i is not None}
+    nodes = {(t, i): (p, r, x, s or 0.0) for t, i, p, r, x, s, _ in rows if i is not None}
     inner = {(t, p) for (t, i), (p, *_) in nodes.items()}
     want = {}
     for t, leaf in nodes:
@@ -65,7 +65,8 @@ def test_reading_back(spark):
     own = sorted(((k, r, t or "") for c, k, r, t in rows if c == 1), key=lambda x: (x[0], x[1], x[2]))
     assert [tuple(t) for t in got[1]["turns"]] == [(r, t) for _, r, t in own]
     assert got[1]["loss"] == "".join(t for _, r, t in own if r == "assistant")
-    assert [tuple(t) for t in got[2]["turns"]] == [("", "")] and set(got) == {1, 2}
+    assert [tuple(t) for t in got[2]["turns"]] == [("", "")] and set(got) == {1, 2, None}
+    assert [tuple(t) for t in got[None]["turns"]] == [("user", "x")]
     assert got[1]["formatted"].count("<|im_start|>") == len(own)
     empty = chat.format_trees(chat.threads(spark.createDataFrame([], "conv_id long, turn long, role string, text string")))
     assert empty.collect() == []
@@ -128,6 +129,8 @@ def test_stages_take_rows_with_nulls_repeats_and_clashing_columns(spark, tmp_pat
         assert out.columns == df.columns, name
         out.collect()
         assert stage(spark, df.limit(0), str(tmp_path)).collect() == []
+    unlike = spark.createDataFrame([(None, f"the {w} thing and that") for w in ("one", "two", "six")] + [(7, "and the first"), (7, "and the other")], "doc_id long, text string")
+    assert sorted(r["text"] for r in corpus_pipeline.near(spark, unlike, str(tmp_path)).collect()) == sorted(r["text"] for r in unlike.collect())
     assert corpus_pipeline.pack(spark, df, str(tmp_path)).count() >= 6
     assert corpus_pipeline.pack(spark, df.limit(0), str(tmp_path)).collect() == []
 
@@ -150,6 +153,22 @@ def test_queries_against_their_sql(spark, name):
     assert sorted(repr([r[c] for c in cols]) for r in got.collect()) == want
 
 
+def test_conversations_without_number_against_the_sql(spark, tmp_path):
+    import duckdb
+
+    from lexigrid.llm import queries
+
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", None), (None, 0, "user", "b"), (None, 1, "assistant", "c<|"), (None, None, None, None), (2, 5, "assistant", "")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    got = queries.op10_chat_formatting(spark, str(tmp_path))
+    want = con.execute(queries.oracle()["op10_chat_formatting"])
+    names = [d[0] for d in want.description]
+    assert sorted(repr([r[c] for c in names]) for r in got.collect()) == sorted(repr(list(r)) for r in want.fetchall())
+    assert got.where("conv_id is null").count() == 1
+
+
 def test_crc_fold_is_that_of_the_text(spark):
     got = spark.range(50).select(F.col("id").alias("doc_id"), langid.may_train().alias("t")).collect()
     assert [r["t"] for r in got] == [zlib.crc32(str(k).encode()) % 4 != 2 for k in range(50)]

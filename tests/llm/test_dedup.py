@@ -39,6 +39,17 @@ def test_dropping_keeps_one_row_of_each_text_with_all_columns(spark, digest_byte
     assert sorted((r["doc_id"], r["text"] or "") for r in got.collect()) == sorted([(5, "a"), (9, ""), (8, "b" * 5000), (4, "ab"), (1, "c"), (11, "a "), (6, "ü")])
 
 
+def test_filter_grows_with_what_it_holds(spark):
+    from lexigrid.llm import common
+
+    assert [common.filter_bits(n) for n in (0, 4096, 4097, 10**7, 10**12)] == [1 << 16, 1 << 16, 1 << 17, 1 << 28, 1 << 28]
+    rng = np.random.default_rng(21)
+    inside, outside = [rng.bytes(32) for _ in range(6000)], [rng.bytes(32) for _ in range(6000)]
+    found = common.DigestFilter.build(spark.createDataFrame([(d,) for d in inside] + [(None,)], "digest binary"), "digest")
+    assert found.hits(inside).all() and found.hits(outside).mean() < 0.02
+    assert not common.DigestFilter.build(spark.createDataFrame([], "digest binary"), "digest").hits(outside).any()
+
+
 def test_empty_table(spark):
     assert exact_dedup.duplicate_labels(docs(spark, [])).collect() == []
     assert exact_dedup.drop_exact_duplicates(docs(spark, [])).collect() == []
@@ -144,6 +155,16 @@ def test_near_duplicates_of_texts_against_brute_force(spark):
     assert sorted(low if r["doc_id"] is None else r["doc_id"] for r in kept) == sorted(set(want.values()))
 
 
+def test_simhash_query(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r["doc_id"], plain_simhash(r["text"])) for r in spark.read.parquet(sf + "/documents.parquet").collect()]
+    want = brute_components(sorted(rows))
+    from lexigrid.llm import queries
+
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in queries.op8_simhash(spark, sf).collect()}
+    assert got == {i: (f"{p:016x}", want[i]) for i, p in rows}
+
+
 def plain_mix(z):
     m = (1 << 64) - 1
     z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & m

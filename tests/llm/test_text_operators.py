@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from lexigrid.llm import fingerprint, langid, packing, queries, sentencepiece, token_counts, url_filter
-from lexigrid.llm.secrets import KINDS, MarkovRatio, find_secrets, named_spans, redact_secrets
+from lexigrid.llm.secrets import KINDS, MarkovRatio, default_model, find_secrets, made_samples, named_spans, redact_secrets
 
 SCHEMA = "doc_id long, text string, ids string, start string, n string"
 ODD = ["", None, " ", "a", "Hello, World! it's 3.5 ½ ﬁ", "É\u0301 ß İstanbul Σας 一☃ \x1c\x85\xa0x", "don't <|endoftext|> stop", "tab\tnew\nline\r\x0bx", "<|im_start|> \\ <|", "word " * 3000, "x" * 5000]
@@ -28,12 +28,15 @@ def test_word_bpe_is_the_library():
     from tokenizers import Tokenizer
 
     path = packing.vocabulary("word_bpe_49k.json")
-    bpe, lib = packing.WordBpe(path), Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
     rng = random.Random(1)
-    alphabet = list("abcdefghij ABC'.,!-0123456789 \n\táéßñÉİΣ一☃²½ªº_\x1c\x85\xa0\u2003\u0301") + ["the ", "ing", "'s", "n't", "  "]
-    for text in [t or "" for t in ODD] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 80))) for _ in range(3000)]:
-        assert np.frombuffer(bpe.encode(text.encode()), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, text
+    alphabet = list("abcdefghij ABC'.,!-0123456789 \n\táéßñÉİΣ一☃²½ªº_\x1c\x85\xa0\u2003\u0301") + ["the ", "ing", "'s", "n't", "  ", "<|startoftext|>", "<|endoftext|>", "<|EndOfText|>", "<|", "|>"]
+    texts = [t or "" for t in ODD] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 80))) for _ in range(3000)]
+    for plain_names in (False, True):
+        bpe, lib = packing.WordBpe(path, plain_names=plain_names), Tokenizer.from_file(path)
+        if plain_names:
+            lib.encode_special_tokens = True
+        for text in texts:
+            assert np.frombuffer(bpe.encode(text.encode()), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, text
 
 
 def test_best_fit_decreasing_picks_the_tightest_window():
@@ -61,7 +64,6 @@ def test_packing_covers_every_token_once(spark, window, shard_rows):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(packing.vocabulary("word_bpe_49k.json"))
-    lib.encode_special_tokens = True
     rows = numbered(ODD)
     packed = packing.pack_documents(docs(spark, rows), window=window, shard_rows=shard_rows)
     got = packed.collect()
@@ -90,6 +92,24 @@ def test_packing_covers_every_token_once(spark, window, shard_rows):
     assert packing.pack_documents(docs(spark, [])).collect() == []
 
 
+def test_pieces_of_one_identifier_pack_in_bounded_blocks(spark):
+    rng = random.Random(21)
+    rows = [(None, 0, rng.randint(1, 60), "x") for _ in range(3000)] + [(7, 64 * k, 64, "x") for k in range(200)]
+    pieces = spark.createDataFrame(rows, "doc_id long, start long, length long, other string").repartition(3)
+    got = packing.pack_pieces(pieces, window=64, shard_rows=100).collect()
+    assert len(got) == len(rows) and sorted((r["doc_id"] or -1, r["length"]) for r in got) == sorted((d or -1, n) for d, _, n, _ in rows)
+    by_sequence = {}
+    for r in got:
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in by_sequence.values():
+        ends = [0] + [o + n for o, n in sorted(own)]
+        assert [o for o, _ in sorted(own)] == ends[:-1] and ends[-1] <= 64
+    shards = {}
+    for r in got:
+        shards[r["sequence_id"] >> 32] = shards.get(r["sequence_id"] >> 32, 0) + 1
+    assert max(shards.values()) < 250  # null identifiers are dealt like any others
+
+
 def test_packing_query(spark):
     got = queries.op1_packing(spark, "/root/testdata/sf0.001").collect()
     from tokenizers import Tokenizer
@@ -112,12 +132,13 @@ def library_ids(text):
     return bpe._ids(bpe.library.encode(text or ""))
 
 
-@pytest.mark.parametrize("chunk,giant", [(64, 100), (sentencepiece.CHUNK, sentencepiece.GIANT)])
-def test_encoding_is_the_library_and_comes_back(spark, chunk, giant):
+@pytest.mark.parametrize("chunk,giant,block", [(64, 100, 3), (64, 100, 256), (sentencepiece.CHUNK, sentencepiece.GIANT, 256)])
+def test_encoding_is_the_library_and_comes_back(spark, monkeypatch, chunk, giant, block):
+    monkeypatch.setattr(sentencepiece, "BLOCK", block)
     rng = random.Random(3)
     alphabet = list("abcdeinth  \n.é一☃") + ["the", "ing "]
     texts = ODD + ["".join(rng.choice(alphabet) for _ in range(rng.randint(90, 700))) for _ in range(60)] + ["".join(rng.choice("abth") for _ in range(900)), "▁▁ a ▁b  ▁"]
-    rows = numbered(texts) + [(70, texts[-2])] * 2
+    rows = numbered(texts) + [(70, texts[-2])] * 2 + [(None, texts[-2]), (None, texts[-3])]
     encoded = sentencepiece.encode(docs(spark, rows), chunk=chunk, giant=giant)
     key = lambda i: -1 if i is None else i
     assert sorted((key(r["doc_id"]), bytes(r["ids"])) for r in encoded.collect()) == sorted((key(i), library_ids(t)) for i, t in rows)
@@ -126,6 +147,17 @@ def test_encoding_is_the_library_and_comes_back(spark, chunk, giant):
     assert sentencepiece.encode(docs(spark, [])).collect() == []
 
 
+def test_encoding_query(spark):
+    import hashlib
+
+    sf = "/root/testdata/sf0.001"
+    want = {}
+    for r in spark.read.parquet(sf + "/documents.parquet").collect():
+        ids = library_ids(r["text"])
+        want[r["doc_id"]] = (len(ids) // 4, zlib.crc32(ids), hashlib.sha256((r["text"] or "").replace("▁", " ").encode()).hexdigest())
+    assert {r["doc_id"]: (r["n_ids"], r["ids_crc32"], r["decoded_sha256"]) for r in queries.op2_sentencepiece(spark, sf).collect()} == want
+
+
 def test_scan_is_associative():
     rng = random.Random(4)
     states = [(k, "") for k in range(4)]
@@ -194,13 +226,36 @@ def test_count_query_against_greedy_matching(spark):
 
 def test_index_finds_what_running_every_rule_finds():
     rng = random.Random(6)
-    own = url_filter.UrlFilter(queries.HOST_RULES)
+    hosts = queries.HOST_RULES + (url_filter.HostRule("block", "big-casino.com", "/click/Tra"), url_filter.HostRule("allow", "example.com", ""))
+    own = url_filter.UrlFilter(hosts)
     rules = [(r.verdict, re.compile(r.pattern)) for r in url_filter.DEFAULT_PATTERNS]
+    tried = 0
     for _ in range(5000):
         host = rng.choice(("", "www.", "m.", "ads.", "help.")) + rng.choice(("Casino", "big-casino", "casinos", "poker", "adult-fun", "xxx-a.b", "example")) + rng.choice((".com", ".net", "-x.org", ""))
-        url = rng.choice(("http://", "HTTPS://", "")) + host + rng.choice(("", "/", "/en/", "/es/1", "/click/track/1", "/wp-login.php?a", "?x", "#y"))
+        url = rng.choice(("http://", "HTTPS://", "")) + host + rng.choice(("", "/", "/en/", "/es/1", "/click/track/1", "/wp-login.php?a", "/click/Track", "?x", "#y"))
+        h, path, rule, verdict = own.judge(url)
+        fit = [r for r in hosts if h and (h == r.host or h.endswith("." + r.host)) and path.startswith(r.path)]
         found = {v for v, rx in rules if rx.search(url.lower())}
-        assert own.pattern_verdict(url) == ("block" if found == {"block"} else "allow"), url
+        if fit:
+            best = max(fit, key=lambda r: (len(r.host + r.path), len(r.host)))
+            assert (rule, verdict) == (best.host + best.path, best.verdict), url
+        else:
+            assert (rule, verdict) == (None, "block" if found == {"block"} else "allow"), url
+        tried += sum(isinstance(r, url_filter.PatternRule) for r in own.candidates(url))
+    assert tried < 1.5 * 5000  # of eleven expressions a url
+
+
+def test_only_rules_that_share_a_token_are_tried(monkeypatch):
+    ran = []
+    monkeypatch.setattr(url_filter.PatternRule, "search", property(lambda self: lambda low: ran.append(self.pattern) or re.search(self.pattern, low)))
+    own = url_filter.UrlFilter(queries.HOST_RULES)
+    assert all(r.tokens for r in (*queries.HOST_RULES, *url_filter.DEFAULT_PATTERNS))
+    assert own.judge("https://a.org/news/casinos")[3] == "allow" and not ran
+    assert own.judge("https://casino.org/news")[3] == "block" and len(ran) == 1
+    assert own.judge("https://ads.org/news")[3] == "block" and len(ran) == 2
+    assert own.judge("https://example.com/casino")[2] == "com/" and len(ran) == 2
+    with pytest.raises(ValueError):
+        url_filter.UrlFilter((), (url_filter.PatternRule("block", "[0-9]", ()),))
 
 
 def test_host_rules(spark):
@@ -262,6 +317,10 @@ def test_fingerprint_query(spark, tmp_path, width):
         assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert r["near_edited"] == float(plain_canonical(t) == plain_canonical(edited)) and r["near_next"] == float(plain_canonical(t) == plain_canonical(after))
         assert (r["fingerprint"] == got[rows[(k + 1) % len(rows)][0]]["fingerprint"]) == bool(r["near_next"])
+        assert (r["fingerprint"] == r["edited_fingerprint"]) == bool(r["near_edited"])
+    docs(spark, [(1, "a"), (1, "b"), (None, "a"), (None, None)]).write.parquet(str(tmp_path / "repeated" / "documents.parquet"))
+    again = [(r["doc_id"], r["fingerprint"]) for r in queries.op4_fingerprints(spark, str(tmp_path / "repeated"), width).collect()]
+    assert len(again) == 4 and len({f for _, f in again}) == 3 and sorted((i is None) for i, _ in again) == [False, False, True, True]
     docs(spark, rows[:1]).write.parquet(str(tmp_path / "one" / "documents.parquet"))
     assert queries.op4_fingerprints(spark, str(tmp_path / "one")).count() == 1
     docs(spark, []).write.parquet(str(tmp_path / "none" / "documents.parquet"))
@@ -285,9 +344,9 @@ def plain_spans(text, model):
 
 def test_secrets_against_plain_python(spark):
     rng = random.Random(7)
-    parts = ["password", "Token", "api_key", "APIKEY", "secret", "passwd", "=", ":", " ", "  ", '"', "'", "abc", "é☃", "0123456789abcdef", "AKIA", "ABCDEFGH12345678", "x9-_/+", "\n", "deadbeef" * 3, "token=token=abcdef", "secret:token:abcdefgh", "kJ8dQ2xZ0vB7nM5rT1yW", "an_ordinary_identifier_name"]
+    parts = ["password", "Token", "api_key", "APIKEY", "secret", "passwd", "=", ":", " ", "  ", '"', "'", "abc", "é☃", "0123456789abcdef", "AKIA", "ABCDEFGH12345678", "x9-_/+", "\n", "deadbeef" * 3, "token=token=abcdef", "secret:token:abcdefgh", "kJ8dQ2xZ0vB7nM5rT1yW", "an_ordinary_identifier_name", "path/to/kJ8dQ2xZ0vB7nM5rT1yW/file"]
     texts = ODD + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(300)] + ["é password = abcdef1 " * 700]
-    model = MarkovRatio(samples=400)
+    model = MarkovRatio(*made_samples(400))
     rows = numbered(texts)
     got = find_secrets(docs(spark, rows), model=model).select("doc_id", named_spans(__import__("pyspark").sql.functions.col("secrets")).alias("s")).collect()
     key = lambda i: -1 if i is None else i
@@ -312,10 +371,40 @@ def test_secrets_against_plain_python(spark):
 def test_markov_models_tell_random_strings_from_identifiers():
     from lexigrid.llm import secrets
 
-    model, rng = MarkovRatio(), random.Random(99)
+    model, rng = default_model(), random.Random(99)
     bad, good = [secrets._random(rng) for _ in range(1500)], [secrets._ordinary(rng) for _ in range(1500)]
-    assert sum(map(model.is_secret, bad)) > 0.85 * len(bad)
+    assert sum(map(model.is_secret, bad)) > 0.95 * len(bad)
     assert sum(map(model.is_secret, good)) < 0.01 * len(good)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    glued = ["/".join(rng.choice(secrets._COMMON) for _ in range(4)) + "/" + "".join(rng.choice(letters) for _ in range(32)) for _ in range(1000)]
+    assert sum(map(model.is_secret, glued)) > 0.95 * len(glued)
+
+
+def test_markov_models_are_trained_on_labelled_rows(spark):
+    ordinary, chance = made_samples(2000, seed=5)
+    rows = [(t, False) for t in ordinary] + [(t, True) for t in chance] + [(None, True), ("x", None), ("", False), ("é" * 30, True)]
+    model = MarkovRatio.train(spark.createDataFrame(rows, "text string, secret boolean"))
+    ordinary, chance = made_samples(300, seed=6)
+    assert sum(map(model.is_secret, chance)) > 0.9 * len(chance) and sum(map(model.is_secret, ordinary)) < 0.02 * len(ordinary)
+    few = MarkovRatio.train(spark.createDataFrame(rows, "text string, secret boolean"), max_rows=10)
+    assert not MarkovRatio.train(spark.createDataFrame([], "text string, secret boolean")).is_secret("a" * 30) and few.bar >= 0
+    got = find_secrets(docs(spark, [(1, "key kJ8dQ2xZ0vB7nM5rT1yWq3Lp9Zx here")]), model=model).first()
+    assert [s["rank"] for s in got["secrets"]] == [3]
+
+
+def test_secret_query(spark):
+    import hashlib
+
+    sf, model = "/root/testdata/sf0.001", default_model()
+    got = {r["doc_id"]: r for r in queries.op6_secret_scans(spark, sf).collect()}
+    rows = spark.read.parquet(sf + "/documents.parquet").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        spans = [s for s in plain_spans(r["text"], model).split(",") if s]
+        base = [s for s in spans if not s.startswith("random")]
+        own = got[r["doc_id"]]
+        assert own["spans"] == ",".join(spans) and own["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert [own["n_assign"], own["n_access"], own["n_hex"]] == [sum(s.startswith(k) for s in base) for k in ("assign", "access", "hex")]
 
 
 # language identification
@@ -342,6 +431,8 @@ def test_language_edge_cases(spark):
     assert [g[1] for g in got] == ["en", "und", "und", "und", "de", "de", "de"]
     assert [g[2] for g in got][1:4] == [True] * 3
     assert langid.keep_identified(docs(spark, tests), model).columns == docs(spark, tests).columns
+    same = spark.createDataFrame([(None, f"ing and thing {k}", "en") for k in range(300)] + [(None, f"schung ung {k}", "de") for k in range(300)], "doc_id long, text string, lang string")
+    assert langid.train(same.unionAll(same), max_rows=100).predict(["thing and ing", "schung und ung"])[0] == ["en", "de"]
     nothing = langid.train(spark.createDataFrame([], "doc_id long, text string, lang string"))
     assert {r["lang_pred"] for r in langid.identify(docs(spark, tests), nothing).collect()} == {"und"}
     assert langid.identify(docs(spark, []), model).collect() == []
