@@ -1,62 +1,5 @@
-"""The corpus pipeline: language, exact copies, near copies, secrets, packing.
+"""The corpus pipeline, whose stages are in lexigrid.llm.pipeline."""
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it
-as Parquet in the folder that spark.checkpoint.dir names and reads it again as
-the next stage's docs. All stages but the last return the columns of docs.
-"""
+from lexigrid.llm.pipeline import ORACLE_SQL, STAGES, exact, language, near, pack, redact, run
 
-from __future__ import annotations
-
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-from lexigrid.llm import common, exact_dedup, langid, packing, secrets, wide_simhash
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the language model rejects go: no letters, or a score below its calibrated bar."""
-    common.small_batches(spark)
-    return langid.keep_identified(docs, langid.train(docs.where(langid.may_train())))
-
-
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id stays."""
-    common.small_batches(spark)
-    return exact_dedup.drop_exact_duplicates(docs, keep="largest")
-
-
-def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links join, the one with the smallest doc_id stays; shingles of five words, similarity 0.8 or more."""
-    common.small_batches(spark)
-    return wide_simhash.drop_similar(docs, shingle=5, similarity=0.8)
-
-
-def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the texts; every document stays."""
-    common.small_batches(spark)
-    return secrets.redact_secrets(docs)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents, placed in sequences."""
-    common.small_batches(spark)
-    return packing.pack_documents(docs, keep=100_000)  # the workers of earlier stages' tasks live on beside it
-
-
-STAGES = [("language", language), ("exact", exact), ("near", near), ("secrets", redact), ("packing", pack)]
-
-#: SQL has no gradient descent, BPE or best-fit packing; tests/llm holds run() against a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the documents of sf_dir."""
-    common.ensure_checkpoint_dir(spark)
-    home = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = common.table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        docs.write.parquet(f"{home}/{k}-{name}")
-        docs = spark.read.parquet(f"{home}/{k}-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "exact", "language", "near", "pack", "redact", "run"]
