@@ -20,11 +20,14 @@ differ in one place of seven, too many for one pigeonhole argument. So
 
 Texts of a key that pairs in reach join are a cluster. Of one with up to ALL_PAIRS
 texts every pair in reach is a candidate; of larger ones the edges of the tree of
-least distances are tried first. Where these leave texts of a cluster apart,
-it is dealt as pairs of blocks, and open_links() verifies every pair in reach that no
-verified links join yet. A key's texts come sorted by fingerprint and no task holds
-more than TREE_BLOCK of them; of a key with more all texts go on to that step. So no pair of a key in reach is left out. Whether two texts meet is a matter of chance; at a similarity of 0.8 it is the
-reach of the fingerprint that loses most, 1 in 100 (README: measured recall).
+least distances are tried first, and marked as open. Where these leave texts of a
+cluster apart, it is dealt as pairs of blocks, and open_links() verifies every
+pair in reach that no verified links join yet. A key's texts come sorted by
+fingerprint and no task holds more than TREE_BLOCK of them; of a key with more, the
+clusters of each block are tied to one hub, so that all go on to that step
+together. So no pair of a key in reach is left out. Whether two texts meet is a
+matter of chance; at a similarity of 0.8 it is the reach of the fingerprint that
+loses most, 1 in 100 (README: measured recall).
 """
 
 from __future__ import annotations
@@ -222,9 +225,10 @@ def candidates(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return out + [(a, b) for a, b in tree if a in large]
 
 
-def crowded(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """(row, first row of its cluster) of the clusters of which candidates() gives a tree only."""
-    return [(k, own[0]) for own in clusters(pairs) if len(own) > ALL_PAIRS for k in own]
+def open_edges(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The pairs of candidates() of clusters of which it gives a tree only."""
+    large = {k for own in clusters(pairs) if len(own) > ALL_PAIRS for k in own}
+    return [p for p in pairs if p[0] in large]
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -245,7 +249,9 @@ def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
 def similar_pairs(distinct: DataFrame, distance: int) -> DataFrame:
     """Candidates (a, b), a below b, among distinct fingerprints (fp, indices, bands): candidates() of each key, some more than once.
 
-    With b null, each fingerprint a of a cluster with pairs in reach that are no candidates, and hub, one of the cluster.
+    open: the two are of a cluster with pairs in reach that are no candidates;
+    open pairs join all of it. With link false a pair only ties clusters together
+    that different blocks of a key may have pairs in reach between.
     """
 
     def emit(batches):
@@ -263,26 +269,34 @@ def similar_pairs(distinct: DataFrame, distance: int) -> DataFrame:
         import pyarrow as pa
 
         found: set[tuple[bytes, bytes]] = set()
-        rest: set[tuple[bytes, bytes]] = set()
+        opened: set[tuple[bytes, bytes]] = set()
+        tied: set[tuple[bytes, bytes]] = set()
         ahead = np.zeros((0, LANES), dtype=np.uint64)  # of the held key: a sample of its blocks so far
         held_key, held = np.zeros(0, dtype=np.int64), np.zeros((0, LANES), dtype=np.uint64)
 
         def out():
-            a, b, hub = [a for a, _ in found] + [a for a, _ in rest], [b for _, b in found] + [None] * len(rest), [None] * len(found) + [h for _, h in rest]
+            rows = [(a, b, (a, b) in opened, True) for a, b in found] + [(a, b, True, False) for a, b in tied - found]
             found.clear()
-            rest.clear()
-            return pa.record_batch([pa.array(a, type=pa.binary()), pa.array(b, type=pa.binary()), pa.array(hub, type=pa.binary())], names=["a", "b", "hub"])
+            opened.clear()
+            tied.clear()
+            return pa.record_batch([pa.array(c, type=t) for c, t in zip(zip(*rows), (pa.binary(), pa.binary(), pa.bool_(), pa.bool_()))], names=["a", "b", "open", "link"])
+
+        def add(to, pairs):
+            to.update((a, b) if a < b else (b, a) for a, b in pairs if a != b)
 
         def block(prints):
-            """One of several blocks of a key: its tree, and with those before it by their sample. All its texts go to open_links()."""
+            """One of several blocks of a key: its candidates, with those before it by their sample, and a tie from each of its clusters to the first text of all."""
             both = np.concatenate([ahead, prints])
-            add((both[a].tobytes(), both[b].tobytes()) for a, b in candidates(both, distance))
-            rest.update((p.tobytes(), both[0].tobytes()) for p in prints)
+            some = candidates(both, distance)
+            raw = [p.tobytes() for p in both]
+            for to in (found, opened):
+                add(to, ((raw[a], raw[b]) for a, b in some))
+            joined = clusters(some)
+            alone = set(range(len(both))).difference(*joined)
+            add(tied, ((raw[own[0]], raw[0]) for own in joined))
+            add(tied, ((raw[k], raw[0]) for k in alone))
             return both[:: -(-len(both) // SAMPLE)]  # with the first, which is the hub
 
-        def add(pairs):
-            found.update((a, b) if a < b else (b, a) for a, b in pairs if a != b)
-
         def groups(key, prints):
             if len(ahead):
                 first = int(np.searchsorted(key, key[0], "right"))
@@ -294,13 +308,13 @@ def similar_pairs(distinct: DataFrame, distance: int) -> DataFrame:
             size = np.diff(cut)
             two = cut[:-1][size == 2]
             near = np.bitwise_count(prints[two] ^ prints[two + 1]).sum(axis=1, dtype=np.int64) <= distance
-            pairs = [(k, k + 1) for k in two[near].tolist()]
+            add(found, ((prints[k].tobytes(), prints[k + 1].tobytes()) for k in two[near].tolist()))
             for k in np.nonzero(size > 2)[0].tolist():
                 own = prints[cut[k] : cut[k + 1]]
                 some = candidates(own, distance)
-                pairs += [(cut[k] + a, cut[k] + b) for a, b in some]
-                rest.update((own[a].tobytes(), own[h].tobytes()) for a, h in crowded(some))
-            add((prints[a].tobytes(), prints[b].tobytes()) for a, b in pairs)
+                add(found, ((own[a].tobytes(), own[b].tobytes()) for a, b in some))
+                if len(own) > ALL_PAIRS:
+                    add(opened, ((own[a].tobytes(), own[b].tobytes()) for a, b in open_edges(some)))
 
         for batch in batches:
             if not batch.num_rows:
@@ -315,17 +329,17 @@ def similar_pairs(distinct: DataFrame, distance: int) -> DataFrame:
             while len(held) > TREE_BLOCK:
                 ahead = block(held[:TREE_BLOCK])
                 held_key, held = held_key[TREE_BLOCK:], held[TREE_BLOCK:]
-            if len(found) + len(rest) > 100_000:
+            if len(found) + len(tied) > 100_000:
                 yield out()
         if len(held_key):
             groups(held_key, held)
-        if found or rest:
+        if found or tied:
             yield out()
         tidy()
 
     parts = shuffle_partitions(distinct.sparkSession)
     keyed = distinct.select("fp", "indices", "bands").mapInArrow(emit, "key long, fp binary")
-    return keyed.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(meet, "a binary, b binary, hub binary")
+    return keyed.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(meet, "a binary, b binary, open boolean, link boolean")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -370,7 +384,7 @@ def tried_apart(fps: list[bytes], roots: list[bytes], sets: list[bytes], distanc
 
 
 def open_links(hot: DataFrame, member: DataFrame, sets: DataFrame, distance: int, similarity: float) -> DataFrame:
-    """Links (a, b) that, with those behind member (node, root), join whatever links of the clusters of hot (fp, hub) join.
+    """Links (a, b) that, with those behind member (node, root), join whatever links of the clusters that the pairs of hot (a, b) make join.
 
     Clusters of different keys that share texts are taken as one, so that a text
     comes once. Those of which all texts have one root are done. Others are dealt
@@ -378,7 +392,7 @@ def open_links(hot: DataFrame, member: DataFrame, sets: DataFrame, distance: int
     blocks is a group of its own; of it the texts in reach of one with another
     root are verified.
     """
-    whole = components(hot.select(F.col("fp").alias("a"), F.col("hub").alias("b"))).select(F.col("node").alias("fp"), F.col("root").alias("cluster"))
+    whole = components(hot).select(F.col("node").alias("fp"), F.col("root").alias("cluster"))
     known = settle(whole.join(member.withColumnRenamed("node", "fp"), "fp", "left").select("cluster", "fp", F.coalesce("root", "fp").alias("root")))
     left = known.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     own = known.join(left.select("cluster", F.ceil(F.col("n") / BLOCK).alias("blocks")), "cluster").withColumn("own", F.pmod(F.xxhash64("fp"), "blocks"))
@@ -459,10 +473,10 @@ def similar_labels(df: DataFrame, id_col: str, text_col: str, shingle: int, simi
     prints = settle(sketches(df, id_col, text_col, shingle))
     distinct = settle(prints.groupBy("fp").agg(F.min(F.struct(F.coalesce("doc_id", lowest).alias("first_id"), "digest")).alias("first"), F.min("indices").alias("indices"), F.min("bands").alias("bands")).select("fp", "first.first_id", F.col("first.digest").alias("first_digest"), "indices", "bands"))
     distance = allowed_distance(similarity)
-    found = settle(similar_pairs(distinct, distance).distinct())
+    found = settle(similar_pairs(distinct, distance).groupBy("a", "b").agg(F.bool_or("open").alias("open"), F.bool_or("link").alias("link")))
     release(df.sparkSession)  # the keys, by far the largest shuffle
-    pairs, hot = found.where("b is not null").select("a", "b"), found.where("b is null").select(F.col("a").alias("fp"), "hub")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(hot.select("fp")).distinct().join(distinct, "fp").select(F.col("first_id").alias("_id"), F.col("first_digest").alias("_digest")).distinct()
+    pairs, hot = found.where("link").select("a", "b"), found.where("open").select("a", "b")
+    nodes = found.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct, "fp").select(F.col("first_id").alias("_id"), F.col("first_digest").alias("_digest")).distinct()
     texts = df.select(F.coalesce(col(id_col).cast("long"), lowest).alias("_id"), text_digest(text_col).alias("_digest"), col(text_col).alias("_text"))
     sets = settle(shingle_sets(texts.join(nodes, ["_id", "_digest"], "left_semi"), "_text", shingle))
     links = settle(verified(pairs, sets, similarity))
