@@ -14,7 +14,10 @@ WS = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x
 TOKEN_RX = rf"[\p{{M}}\p{{P}}\p{{S}}]+|[^\p{{M}}\p{{P}}\p{{S}}{WS}]+"
 SPLIT_RX = rf"[^{WS}]+"
 
+#: The bracket codes of treebanks, and what starts a link or a user name.
 UNESCAPES = {"-LRB-": "(", "-RRB-": ")", "-LSB-": "[", "-RSB-": "]", "-LCB-": "{", "-RCB-": "}"}
+URL_RX = rf"(?:www\.|htt(?:ps?)?://)[^{WS}]+"
+USER_RX = rf"@[^{WS}]+"
 
 
 def tokenize(text: Column) -> Column:
@@ -57,22 +60,24 @@ def label_prefix(label: Column) -> Column:
 
 
 def mask_urls(text: Column) -> Column:
-    return F.regexp_replace(text, r"((www\.[^ \t\n\r]+)|(https?://[^ \t\n\r]+)|(http?://[^ \t\n\r]+))", "<url>")
+    return F.regexp_replace(text, URL_RX, "<url>")
 
 
 def mask_users(text: Column) -> Column:
-    return F.regexp_replace(text, r"(@[^ \t\n\r]+)", "<user>")
+    return F.regexp_replace(text, USER_RX, "<user>")
 
 
-def unescape_brackets(text: Column) -> Column:
+def unescape_bracket(token: Column) -> Column:
+    """The bracket that a whole token is the code of; other tokens as they are."""
+    out = token
     for code, plain in UNESCAPES.items():
-        text = F.replace(text, F.lit(code), F.lit(plain))
-    return text
+        out = F.when(token == code, F.lit(plain)).otherwise(out)
+    return out
 
 
 def normalize_sentence(text: Column, to_lower: bool = True) -> Column:
-    """Strip, undo bracket codes, lower-case if asked, and mask links and user names."""
-    out = unescape_brackets(strip(text))
+    """White-space tokens joined by blanks, bracket codes undone, lower-cased if asked, links and user names masked."""
+    out = F.array_join(F.transform(split_words(text), unescape_bracket), " ")
     return mask_users(mask_urls(F.lower(out) if to_lower else out))
 
 

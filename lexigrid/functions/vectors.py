@@ -55,7 +55,10 @@ def compose_mult(vectors: list[Column]) -> Column:
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _convolved(stack: pd.Series) -> pd.Series:
-    return stack.map(lambda vs: np.real(np.fft.ifft(np.prod(np.fft.fft(np.stack([np.asarray(v, dtype=np.float64) for v in vs]), axis=1), axis=0))).tolist())
+    if not len(stack):
+        return stack
+    whole = np.array([[np.asarray(v, dtype=np.float64) for v in vs] for vs in stack])
+    return pd.Series(list(np.real(np.fft.ifft(np.fft.fft(whole, axis=2).prod(axis=1), axis=1))))
 
 
 def compose_conv(vectors: list[Column]) -> Column:

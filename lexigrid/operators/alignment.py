@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrid.operators import cooc as cx
+from lexigrid.operators.runtime import broadcast_if_small, settle
 
 
 def gram_matrices(pairs: DataFrame, x: str = "source", y: str = "target") -> dict[str, np.ndarray]:
@@ -80,13 +81,20 @@ def expand_vocabulary(model: DataFrame, source: DataFrame) -> DataFrame:
     return own.join(mapped, "word", "full_outer").select("word", F.coalesce("own", "mapped").alias("vec"))
 
 
+def _context_sums(cooc: DataFrame, vectors: DataFrame) -> DataFrame:
+    """i, s (sum of x times the column's vector), known (sum of x): rows of the symmetric co-occurrence over columns with a vector (id, vec)."""
+    from lexigrid.operators.doc_vectors import dimension_of, vector_sum
+
+    n = dimension_of(vectors)
+    own = settle(vectors.select(F.col("id").alias("j"), F.col("vec").cast("array<double>").alias("v")))
+    known = cx.symmetric(cooc).join(broadcast_if_small(own, "j", 8 * n), "j")
+    summed = known.groupBy("i").agg(F.sum("x").alias("known"), *vector_sum(F.col("v"), F.col("x"), n))
+    return summed.select("i", F.array(*[F.col(f"_{k}") for k in range(n)]).cast("array<double>").alias("s"), "known")
+
+
 def context_vectors(cooc: DataFrame, vectors: DataFrame) -> DataFrame:
     """i, vec: rows of the symmetric co-occurrence times the vectors (id, vec), over the row's sum; rows without a known context are left out."""
-    known = cx.symmetric(cooc).join(vectors.select(F.col("id").alias("j"), F.col("vec").cast("array<double>").alias("v")), "j")
-    total = cx.row_sums(cooc)
-    summed = known.select("i", "x", F.posexplode("v").alias("dim", "v")).groupBy("i", "dim").agg(F.sum(F.col("x") * F.col("v")).alias("s"))
-    rows = summed.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "s"))), lambda p: p["s"]).alias("s"))
-    return rows.join(total, "i").select("i", F.transform("s", lambda x: x / F.col("total")).alias("vec"))
+    return _context_sums(cooc, vectors).join(cx.row_sums(cooc), "i").select("i", F.transform("s", lambda x: x / F.col("total")).alias("vec"))
 
 
 def induce_embeddings(source_vocabulary: DataFrame, source_cooc: DataFrame, source_vectors: DataFrame, target_vocabulary: DataFrame, target_cooc: DataFrame) -> DataFrame:
@@ -109,6 +117,4 @@ def induce_embeddings(source_vocabulary: DataFrame, source_cooc: DataFrame, sour
 
 def _shared_contexts(cooc: DataFrame, vectors: DataFrame) -> DataFrame:
     """context_vectors over the entries whose column has a vector, sums included."""
-    known = cx.symmetric(cooc).join(vectors.select(F.col("id").alias("j"), F.col("vec").cast("array<double>").alias("v")), "j")
-    summed = known.select("i", "x", F.posexplode("v").alias("dim", "v")).groupBy("i", "dim").agg((F.sum(F.col("x") * F.col("v")) / F.sum("x")).alias("s"))
-    return summed.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "s"))), lambda p: p["s"]).alias("vec"))
+    return _context_sums(cooc, vectors).select("i", F.transform("s", lambda x: x / F.col("known")).alias("vec"))

@@ -56,13 +56,19 @@ def top_vocabulary(lines: DataFrame, num_words: int, reserved: int, text_col: st
     return top.withColumn("id", (place - 1 + reserved).cast("bigint"))
 
 
-def bag_of_features(docs: DataFrame, features: Column, vocabulary: DataFrame, id_col: str = "doc_id", weights: DataFrame | None = None, default: float = 1.0) -> DataFrame:
-    """doc_id, feature_id, value in long form: counts, or counts times the feature's weight.
+def document_counts(docs: DataFrame, features: Column, id_col: str = "doc_id") -> DataFrame:
+    """doc_id, feature, n: how often each feature occurs in each document. Rows that share an identifier are one document."""
+    return docs.select(F.col(id_col), F.explode(features).alias("feature")).groupBy(id_col, "feature").agg(F.count(F.lit(1)).alias("n"))
 
-    vocabulary: feature, id. weights: feature, weight; features without one weigh
-    `default`. Features outside the vocabulary are left out.
-    """
-    counted = docs.select(F.col(id_col), F.explode(features).alias("feature")).groupBy(id_col, "feature").agg(F.count(F.lit(1)).alias("n"))
+
+def vocabulary_of(counted: DataFrame, min_count: int = 1, order: list[Column] | None = None) -> DataFrame:
+    """feature_vocabulary() from document_counts()."""
+    found = counted.groupBy("feature").agg(F.sum("n").alias("count")).where(F.col("count") >= min_count)
+    return dense_ids(found, order or [F.asc("feature")])
+
+
+def bag(counted: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", weights: DataFrame | None = None, default: float = 1.0) -> DataFrame:
+    """bag_of_features() from document_counts()."""
     known = vocabulary.select("feature", F.col("id").alias("feature_id"))
     if weights is None:
         return counted.join(known, "feature").select(id_col, "feature_id", F.col("n").alias("value"))
@@ -70,6 +76,15 @@ def bag_of_features(docs: DataFrame, features: Column, vocabulary: DataFrame, id
     return counted.join(weighed, "feature").select(id_col, "feature_id", (F.col("n") * F.col("weight")).alias("value"))
 
 
+def bag_of_features(docs: DataFrame, features: Column, vocabulary: DataFrame, id_col: str = "doc_id", weights: DataFrame | None = None, default: float = 1.0) -> DataFrame:
+    """doc_id, feature_id, value in long form: counts, or counts times the feature's weight.
+
+    vocabulary: feature, id. weights: feature, weight; features without one weigh
+    `default`. Features outside the vocabulary are left out.
+    """
+    return bag(document_counts(docs, features, id_col), vocabulary, id_col, weights, default)
+
+
 def sif_weights(counts: DataFrame, a: float = 1e-2) -> DataFrame:
     """feature, weight = a T / (a T + count), T the sum of all counts."""
     total = counts.agg((F.lit(float(a)) * F.sum("count")).alias("at"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexigrid.functions import text as tx
 from lexigrid.functions import vectors as vx
+from lexigrid.operators.runtime import broadcast_if_small, require_unique, settle
 
 
 def vocabulary_vectors(vocabulary: DataFrame, vectors: DataFrame, unit: bool = True) -> DataFrame:
@@ -38,6 +39,12 @@ def long_form(frame: DataFrame, key: str, vec: str = "vec", decimals: int | None
     return out if decimals is None else out.withColumn("x", F.round("x", decimals))
 
 
+def dimension_of(vectors: DataFrame, vec: str = "vec") -> int:
+    """The length of the first vector; 0 without rows."""
+    first = vectors.select(F.size(vec)).first()
+    return first[0] if first else 0
+
+
 def vector_sum(vec: Column, weight: Column, dimension: int) -> list[Column]:
     """One sum for each place, so partial sums need no arrays in the shuffle's reducers."""
     return [F.sum(weight * F.element_at(vec, k + 1)).alias(f"_{k}") for k in range(dimension)]
@@ -48,15 +55,18 @@ def document_vectors(docs: DataFrame, tokens: Column, vectors: DataFrame, dimens
 
     Tokens without a vector add nothing; `average` divides by the number of all
     tokens, 1 at least. weights: word, weight; others weigh `default`. Weights
-    are multiplied into the vectors once a word.
+    are multiplied into the vectors once a word. Identifiers tell documents
+    apart. Vectors go to all tasks if counting shows that they are few.
     """
+    require_unique(docs, id_col)
     own = docs.select(F.col(id_col).alias("doc_id"), tokens.alias("tokens"))
     if weights is not None:
         vectors = vectors.join(weights.select("word", "weight"), "word", "left")
         factor = F.coalesce("weight", F.lit(float(default)))
         vectors = vectors.select("word", F.transform(vx.doubles(F.col("vec")), lambda x: x * factor).alias("vec"))
     counted = own.select("doc_id", F.explode("tokens").alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
-    summed = counted.join(vectors.select("word", vx.doubles(F.col("vec")).alias("vec")), "word").groupBy("doc_id").agg(*vector_sum(F.col("vec"), F.col("n"), dimension))
+    known = broadcast_if_small(settle(vectors.select("word", vx.doubles(F.col("vec")).alias("vec"))), "word", 8 * dimension)
+    summed = counted.join(known, "word").groupBy("doc_id").agg(*vector_sum(F.col("vec"), F.col("n"), dimension))
     stacked = summed.select("doc_id", F.array(*[F.col(f"_{k}") for k in range(dimension)]).alias("vec"))
     every = own.select("doc_id", F.greatest(F.lit(1), F.size("tokens")).alias("size")).join(stacked, "doc_id", "left")
     vec = F.coalesce("vec", F.array_repeat(F.lit(0.0), dimension))
@@ -102,8 +112,8 @@ def shared_vocabulary(source: DataFrame, target: DataFrame) -> DataFrame:
 
 def mean_vector(vectors: DataFrame, vec: str = "vec") -> DataFrame:
     """One row: mean, the average vector."""
-    per = vectors.select(F.posexplode(vec).alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("x"))
-    return per.agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("mean"))
+    n = dimension_of(vectors, vec)
+    return vectors.agg(F.array(*[F.avg(F.element_at(vec, k + 1)) for k in range(n)]).cast("array<double>").alias("mean"))
 
 
 def align_parameters(parameters: DataFrame, target: DataFrame, mean_fill: bool = True) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from lexigrid.functions import vectors as vx
 from lexigrid.operators import counts
 from lexigrid.operators.alignment import gram_matrices
-from lexigrid.operators.runtime import by_number, settle
+from lexigrid.operators.doc_vectors import dimension_of
+from lexigrid.operators.runtime import broadcast_if_small, by_number, settle
 
 C_GRID = (1e-2, 1e-1, 1.0, 1e1, 1e2)
 CENTERS_AT_ONCE = 5000
@@ -45,8 +46,8 @@ def f1(predicted: DataFrame, pred: str = "prediction", label: str = "label", pos
 
 
 def _mean_ranks(values: DataFrame, c: str) -> DataFrame:
-    """c, rank: for each distinct value the mean rank of the rows that have it. Ranges of values are summed apart."""
-    counted = settle(values.groupBy(c).agg(F.count(F.lit(1)).alias("n")).repartitionByRange(c).withColumn("_part", F.spark_partition_id()))
+    """c, rank: for each distinct value the mean rank of the n rows of each row of values (c, n). Ranges of values are summed apart."""
+    counted = settle(values.groupBy(c).agg(F.sum("n").alias("n")).repartitionByRange(c).withColumn("_part", F.spark_partition_id()))
     base, total = {}, 0
     for r in sorted(counted.groupBy("_part").agg(F.sum("n").alias("n")).collect(), key=lambda r: r["_part"]):
         base[r["_part"]] = total
@@ -58,12 +59,24 @@ def _mean_ranks(values: DataFrame, c: str) -> DataFrame:
 
 
 def correlations(frame: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: pearson and spearman, times 100. Ranks of ties are their mean."""
-    ranked = settle(frame.select(x, y))
-    for c in (x, y):
-        ranks = _mean_ranks(ranked.select(c), c).select(F.col(c).alias(f"_{c}"), F.col("rank").alias(f"rank_{c}"))
-        ranked = ranked.join(ranks, F.col(c) == F.col(f"_{c}"))
-    return ranked.agg((F.corr(x, y) * 100).alias("pearson"), (F.corr(f"rank_{x}", f"rank_{y}") * 100).alias("spearman"))
+    """One row: pearson and spearman, times 100. Ranks of ties are their mean.
+
+    Distinct pairs are counted first, so no value's rows meet in one task; ranks go
+    to all tasks where the distinct values are few, as labels are.
+    """
+    pairs = settle(frame.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("n")))
+    ranked = pairs
+    for c in ("x", "y"):
+        ranks = settle(_mean_ranks(pairs, c).withColumnRenamed("rank", f"r{c}"))
+        ranked = ranked.join(broadcast_if_small(ranks, c, 8), c)
+    ranked = settle(ranked)
+    mean = ranked.agg(*[(F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(f"m{c}") for c in ("x", "y", "rx", "ry")])  # one row
+
+    def corr(a: str, b: str):
+        da, db = F.col(a) - F.col(f"m{a}"), F.col(b) - F.col(f"m{b}")
+        return F.sum(F.col("n") * da * db) / (F.sqrt(F.sum(F.col("n") * da * da)) * F.sqrt(F.sum(F.col("n") * db * db))) * 100
+
+    return ranked.crossJoin(F.broadcast(mean)).agg(corr("x", "y").alias("pearson"), corr("rx", "ry").alias("spearman"))
 
 
 # nearest centroid
@@ -71,66 +84,61 @@ def correlations(frame: DataFrame, x: str, y: str) -> DataFrame:
 
 def centroids(labelled: DataFrame, vec: str = "vec", label: str = "label") -> DataFrame:
     """label, centroid."""
-    per = labelled.select(label, F.posexplode(vec).alias("dim", "x")).groupBy(label, "dim").agg(F.avg("x").alias("x"))
-    return per.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("centroid"))
+    n = dimension_of(labelled, vec)
+    return labelled.groupBy(label).agg(F.array(*[F.avg(F.element_at(vec, k + 1)) for k in range(n)]).cast("array<double>").alias("centroid"))
 
 
 def nearest_centroid(frame: DataFrame, centers: DataFrame, key: str, vec: str = "vec", label: str = "label") -> DataFrame:
     """key, prediction: the label of the nearest centroid, the least label among equals.
 
-    At most CENTERS_AT_ONCE centroids are broadcast; more of them go in turns,
-    whose best are compared.
+    Each row looks for its own nearest in one broadcast array, without a shuffle.
+    More than CENTERS_AT_ONCE centroids come as several arrays, in turns.
     """
-    turns = -(-centers.count() // CENTERS_AT_ONCE)
-    turn = F.pmod(F.xxhash64(label), F.lit(max(1, turns)))
-    far = F.aggregate(F.zip_with(vx.doubles(F.col(vec)), F.col("centroid"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
-    best = F.min(F.struct(F.round(far, 9).alias("d"), "_label")).alias("best")
-    out = None
-    for k in range(max(1, turns)):
-        named = F.broadcast(centers.where(turn == k).select(F.col(label).alias("_label"), "centroid"))
-        own = frame.crossJoin(named).groupBy(key).agg(best)
-        out = own if out is None else out.unionByName(own)
-    return out.groupBy(key).agg(F.min("best")["_label"].alias("prediction")) if turns > 1 else out.select(key, F.col("best._label").alias("prediction"))
+    turns = max(1, -(-centers.count() // CENTERS_AT_ONCE))
+    turn = F.pmod(F.xxhash64(label), F.lit(turns))
+    own = frame.select(key, vx.doubles(F.col(vec)).alias("_v"))
+    best = []
+    for k in range(turns):
+        stacked = centers.where(turn == k).agg(F.collect_list(F.struct(F.col(label).alias("l"), F.col("centroid").alias("c"))).alias(f"_c{k}"))
+        own = own.crossJoin(F.broadcast(stacked))  # one row of at most about CENTERS_AT_ONCE centroids
+        far = lambda c: F.aggregate(F.zip_with("_v", c["c"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
+        best.append(F.array_min(F.transform(f"_c{k}", lambda c: F.struct(F.round(far(c), 9).alias("d"), c["l"].alias("l")))))
+    return own.select(key, F.array_min(F.array(*best))["l"].alias("prediction"))
 
 
 # ridge regression
 
 
-def ridge(train: DataFrame, alphas=C_GRID, folds: int = 5, x: str = "features", y: str = "label", intercept: bool = True) -> tuple[np.ndarray, float, float]:
-    """(coefficients, intercept, alpha): closed form from Gram matrices, alpha by cross-validation over them."""
-    split = train.select(F.col(x).alias("source"), F.array(F.col(y).cast("double")).alias("target"), F.pmod(F.xxhash64(x), F.lit(folds)).alias("_f"))
-    split = settle(split)
-    parts = []
-    for k in range(folds):
-        part = split.where(F.col("_f") == k)
-        if not part.isEmpty():
-            parts.append((part, gram_matrices(part)))
-
-    def add(gs):
-        return {k: sum(g[k] for g in gs) for k in gs[0]}
-
-    def solve(g, alpha):
-        xx, xy, mean = g["xx"], g["xy"], np.zeros(len(g["sx"]))
-        shift = 0.0
-        if intercept:
-            mean, shift = g["sx"] / g["n"], float(g["sy"][0] / g["n"])
-            xx, xy = xx - g["n"] * np.outer(mean, mean), xy - g["n"] * np.outer(mean, [shift])
-        w = np.linalg.solve(xx + alpha * np.eye(len(xx)), xy)[:, 0]
-        return w, shift - float(w @ mean)
-
-    def error(part, w, b):
-        @F.pandas_udf("double")
-        def off(v: pd.Series, t: pd.Series) -> pd.Series:
-            return pd.Series((np.stack(v.to_numpy()) @ w + b - np.stack(t.to_numpy())[:, 0]) ** 2) if len(v) else pd.Series([], dtype=float)
-
-        return part.agg(F.sum(off("source", "target"))).first()[0]
-
-    best = alphas[0]
-    if len(parts) > 1:
-        loss = {a: sum(error(p, *solve(add([g for q, g in parts if q is not p]), a)) for p, _ in parts) for a in alphas}
-        best = min(loss, key=loss.get)
-    w, b = solve(add([g for _, g in parts]), best)
-    return w, b, best
+def ridge(train: DataFrame, alphas=C_GRID, x: str = "features", y: str = "label", intercept: bool = True) -> tuple[np.ndarray, float, float]:
+    """(coefficients, intercept, alpha): closed form from Gram matrices, alpha by the least squared leave-one-out error.
+
+    What leaving a row out does follows from its place on the diagonal of the hat
+    matrix, so one pass over the rows judges all alphas.
+    """
+    rows = settle(train.select(F.col(x).alias("source"), F.array(F.col(y).cast("double")).alias("target")))
+    g = gram_matrices(rows)
+    n, mean, shift = g["n"], np.zeros(len(g["sx"])), 0.0
+    if intercept:
+        mean, shift = g["sx"] / n, float(g["sy"][0] / n)
+    xx, xy = g["xx"] - n * np.outer(mean, mean), g["xy"][:, 0] - n * mean * shift
+    inverse = [np.linalg.inv(xx + a * np.eye(len(xx))) for a in alphas]
+
+    @F.pandas_udf("array<double>")
+    def left_out(v: pd.Series, t: pd.Series) -> pd.Series:
+        if not len(v):
+            return v
+        own, target = np.stack(v.to_numpy()) - mean, np.stack(t.to_numpy())[:, 0] - shift
+        out = []
+        for m in inverse:
+            hat = (own @ m * own).sum(axis=1) + (1.0 / n if intercept else 0.0)
+            out.append(((target - own @ (m @ xy)) / np.maximum(1.0 - hat, 1e-12)) ** 2)
+        return pd.Series(list(np.stack(out, axis=1)))
+
+    scored = rows.select(left_out("source", "target").alias("e"))
+    loss = scored.agg(*[F.sum(F.element_at("e", k + 1)).alias(f"e{k}") for k in range(len(alphas))]).first()
+    best = min(range(len(alphas)), key=lambda k: loss[k])
+    w = inverse[best] @ xy
+    return w, shift - float(w @ mean), alphas[best]
 
 
 def predict_linear(frame: DataFrame, w: np.ndarray, b: float, x: str = "features") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame
@@ -21,17 +23,29 @@ def settle(df: DataFrame) -> DataFrame:
             if not (sc.master == "local" or sc.master.startswith("local[")):
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             shared = tempfile.mkdtemp(prefix="lexigrid-checkpoint-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
         sc.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, key: str) -> DataFrame:
-    """df, marked for broadcast if counting shows that it is small; else as it is, and the join shuffles. df is computed once more, so settle it first."""
-    size = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(key)), F.lit(0)).alias("bytes")).first()
-    return F.broadcast(df) if size["n"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES else df
+def is_small(df: DataFrame, key: str, more: int = 0) -> bool:
+    """Whether counting shows few rows and few bytes of keys and of `more` a row. df is computed once more, so settle it first."""
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(F.col(key).cast("string"))), F.lit(0)).alias("bytes")).first()
+    return size["n"] <= BROADCAST_ROWS and size["bytes"] + more * size["n"] <= BROADCAST_BYTES
+
+
+def broadcast_if_small(df: DataFrame, key: str, more: int = 0) -> DataFrame:
+    """df, marked for broadcast if it is small; else as it is, and the join shuffles."""
+    return F.broadcast(df) if is_small(df, key, more) else df
 
 
 def by_number(values: dict[int, int], number: Column) -> Column:
     """The value of a small whole number (a partition's, say), looked up in one constant array."""
     listed = ",".join(str(values.get(k, 0)) for k in range(max(values) + 1))
     return F.element_at(F.split(F.lit(listed), ",").cast("array<bigint>"), number.cast("int") + 1)
+
+
+def require_unique(df: DataFrame, *keys: str) -> None:
+    """Raise if several rows share their keys, as their sums would merge."""
+    if not df.groupBy(*keys).count().where("count > 1").isEmpty():
+        raise ValueError(f"{', '.join(keys)} must tell rows apart")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexigrid.functions import text as tx
 from lexigrid.functions import vectors as vx
 from lexigrid.operators import counts
+from lexigrid.operators.runtime import broadcast_if_small, require_unique, settle
 
 EOS, UNKNOWN = 0, 1
 
@@ -41,10 +42,11 @@ def triple_stats(judged: DataFrame) -> DataFrame:
 
 
 def encode(frame: DataFrame, key: list[str], tokens: Column, vocabulary: DataFrame, unknown: int = UNKNOWN, eos: int | None = None, lower: bool = False) -> DataFrame:
-    """key, ids: array<bigint> of the tokens' ids in the vocabulary (word, id), `unknown` for others, `eos` at the end if given."""
+    """key, ids: array<bigint> of the tokens' ids in the vocabulary (word, id), `unknown` for others, `eos` at the end if given. Keys tell rows apart."""
+    require_unique(frame, *key)
     words = F.transform(tokens, F.lower) if lower else tokens
     own = frame.select(*key, F.posexplode_outer(words).alias("pos", "word"))
-    found = own.join(vocabulary.select("word", "id"), "word", "left")
+    found = own.join(broadcast_if_small(settle(vocabulary.select("word", "id")), "word"), "word", "left")
     marked = F.when(F.col("word").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(unknown)).cast("bigint").alias("id")))
     ids = F.transform(F.array_sort(F.collect_list(marked)), lambda x: x["id"])
     if eos is not None:
@@ -83,7 +85,7 @@ def shard_name(split: str, shard: int, shards: int) -> str:
 
 def permuted_split(frame: DataFrame, key: str, held_out: int, seed: int = 123) -> DataFrame:
     """frame with split: the held_out rows that come first in a seeded order are 'validation', the rest 'train'."""
-    ordered = counts.dense_ids(frame, [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)], name="row_id")
+    ordered = counts.dense_ids(frame, [F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), F.col(key)], name="row_id")
     return ordered.withColumn("split", F.when(F.col("row_id") < held_out, "validation").otherwise("train"))
 
 

@@ -48,7 +48,8 @@ def _low_tokens():
 
 def _word_vectors(spark, sf_dir):
     """word, vec by rank among the white-space words of documents."""
-    ranked = _vocabulary(spark, sf_dir, 1)
+    n = table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0]
+    ranked = counts.top_vocabulary(_docs(spark, sf_dir), (-1 if n is None else n) + 3, reserved=0)
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), vx.doubles(F.col("embedding")).alias("vec"))
     return ranked.join(vectors, "id").select("word", "vec")
 
@@ -179,10 +180,8 @@ def _bag_sql(k: int, ordered: bool, min_count: int) -> str:
 
 def _bag(spark, sf_dir, k, ordered, min_count):
     grams = tx.ngrams(_low_tokens(), k) if ordered else tx.sorted_ngrams(_low_tokens(), k)
-    features = F.transform(grams, tx.gram_text)
-    docs = _docs(spark, sf_dir)
-    known = settle(counts.feature_vocabulary(docs, features, min_count, order=[F.split("feature", " ")]))
-    return counts.bag_of_features(docs, features, known)
+    counted = settle(counts.document_counts(_docs(spark, sf_dir), F.transform(grams, tx.gram_text)))
+    return counts.bag(counted, counts.vocabulary_of(counted, min_count, order=[F.split("feature", " ")]))
 
 
 for _k, _min in ((1, 1), (2, 2), (3, 2)):
@@ -202,9 +201,9 @@ for _k, _min in ((1, 1), (2, 2), (3, 2)):
     select doc_id, feature_id, round(count(*) * (any_value(a) / (any_value(a) + any_value(n))), 9) as "value" from g join c using (feature), total group by doc_id, feature_id"""
 )
 def bof_weighted(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    known = settle(counts.feature_vocabulary(docs, _low_tokens()))
-    out = counts.bag_of_features(docs, _low_tokens(), known, weights=counts.sif_weights(known, 1e-3))
+    counted = settle(counts.document_counts(_docs(spark, sf_dir), _low_tokens()))
+    known = settle(counts.vocabulary_of(counted))
+    out = counts.bag(counted, known, weights=counts.sif_weights(known, 1e-3))
     return out.select("doc_id", "feature_id", F.round("value", 9).alias("value"))
 
 
@@ -390,8 +389,8 @@ def inbatch_context_scores(spark, sf_dir):
 
 
 @query(
-    r"""select page_id, regexp_replace(url, '((www\.[^ \t\n\r]+)|(https?://[^ \t\n\r]+)|(http?://[^ \t\n\r]+))', '<url>', 'g') as url,
-    regexp_replace(regexp_replace(html, '((www\.[^ \t\n\r]+)|(https?://[^ \t\n\r]+)|(http?://[^ \t\n\r]+))', '<url>', 'g'), '(@[^ \t\n\r]+)', '<user>', 'g') as html from pages"""
+    f"""select page_id, regexp_replace(url, '{tx.URL_RX}', '<url>', 'g') as url,
+    regexp_replace(regexp_replace(html, '{tx.URL_RX}', '<url>', 'g'), '{tx.USER_RX}', '<user>', 'g') as html from pages"""
 )
 def mask_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.mask_urls(F.col("url")).alias("url"), tx.mask_users(tx.mask_urls(F.col("html"))).alias("html"))
@@ -453,14 +452,11 @@ def context_vectors(spark, sf_dir):
     return doc_vectors.long_form(alignment.context_vectors(found, vectors), "i", decimals=6)
 
 
-_STRIPPED = f"regexp_replace(coalesce(text, ''), '^[{tx.WS}]+|[{tx.WS}]+$', '', 'g')"
-_PLAIN = _STRIPPED
-for _code, _sign in tx.UNESCAPES.items():
-    _PLAIN = f"replace({_PLAIN}, '{_code}', '{_sign}')"
+_PLAIN = "case x " + " ".join(f"when '{code}' then '{sign}'" for code, sign in tx.UNESCAPES.items()) + " else x end"
 
 
 @query(
-    rf"""select conv_id, turn, regexp_replace(regexp_replace(lower({_PLAIN}), '((www\.[^ \t\n\r]+)|(https?://[^ \t\n\r]+)|(http?://[^ \t\n\r]+))', '<url>', 'g'), '(@[^ \t\n\r]+)', '<user>', 'g') as text from conversations"""
+    f"""select conv_id, turn, regexp_replace(regexp_replace(lower(array_to_string([{_PLAIN} for x in {_WORDS}], ' ')), '{tx.URL_RX}', '<url>', 'g'), '{tx.USER_RX}', '<user>', 'g') as text from conversations"""
 )
 def normalized_sentences(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.normalize_sentence(F.coalesce("text", F.lit(""))).alias("text"))

@@ -86,9 +86,11 @@ def test_vocabularies(spark):
     assert sorted(r["id"] for r in counts.corpus_vocabulary(many).collect()) == list(range(700))
 
 
-@pytest.mark.parametrize("window", [1, 3, 10, 25])
-def test_cooccurrence_against_brute_force(spark, window, monkeypatch):
+@pytest.mark.parametrize("window,small", [(1, True), (3, False), (10, True), (10, False), (25, True), (25, False)])
+def test_cooccurrence_against_brute_force(spark, window, small, monkeypatch):
     monkeypatch.setattr(cooc, "BLOCK", 32)
+    monkeypatch.setattr(cooc, "TOKENS", 50)
+    monkeypatch.setattr(cooc, "is_small", lambda *a: small)
     rng = random.Random(2)
     texts = [" ".join(rng.choice("abcdefgxyz") for _ in range(n)) for n in (0, 1, 5, 200, 64, 33)]
     vocabulary = counts.corpus_vocabulary(docs(spark, ["a a a b b c d e f g"]))
@@ -301,6 +303,65 @@ def test_training_lowers_the_loss(spark, model, method, eta):
         assert training.loss(found, trainer.state, 4).first()[0] < trainer.losses[0]
 
 
+@pytest.mark.parametrize("rule", [training.GloveRule, training.SnRule])
+@pytest.mark.parametrize("adagrad", [False, True])
+def test_a_batch_is_its_entries_one_by_one(rule, adagrad):
+    rng = np.random.default_rng(11)
+    i, j = rng.permutation(40).reshape(2, 20)
+    weight, log_x, d = rng.random(20), rng.normal(size=20), 3
+    start, share, src = rng.normal(size=(40, rule.size(d))), rng.random(40) + 1, rng.normal(size=(40, d))
+    runs = []
+    for cut in ([np.arange(20)], [np.array([k]) for k in range(20)]):
+        p, acc, bias = start.copy(), np.ones_like(start), [0.3]
+        loss = sum(rule.step(p, acc, i[at], j[at], weight[at], log_x[at], d, 0.1, adagrad, 0.5, src, share, bias) for at in cut)
+        runs.append((p, bias[0], loss))
+    assert np.allclose(runs[0][0], runs[1][0]) and np.isclose(runs[0][1], runs[1][1]) and np.isclose(runs[0][2], runs[1][2])
+
+
+def test_blocks_follow_the_size_and_sources_must_be_whole(spark):
+    assert [training.block_count(*x) for x in ((10, 10), (60_000, 10), (10, 10**9), (10**6, 10**6))] == [2, 4, 24, 50]
+    found, _ = triples_of_rank(spark, 6)
+    source = spark.createDataFrame([(k, [1.0, 1.0]) for k in range(5)], "id long, vec array<double>")
+    with pytest.raises(ValueError):
+        training.WordVectorTrainer(2, epochs=1, source=source).fit(found, 6)
+
+
+def test_repeated_identifiers_are_refused(spark):
+    _, v = vectors(spark, ["a", "b"])
+    twice = spark.createDataFrame([(1, "a b"), (1, "a")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        doc_vectors.document_vectors(twice, F.split("text", " "), v, 4)
+    with pytest.raises(ValueError):
+        sentences.encode(twice, ["doc_id"], F.split("text", " "), v.select("word", F.lit(3).alias("id")))
+
+
+def test_masks_and_brackets_of_whole_tokens(spark):
+    texts = ["http://x.y/z\u00a0then and", "a -LRB- x-LRB-y -RSB-", " WWW.a\x0bhtt://q b @me\u2003you ", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(tx.normalize_sentence(F.col("text")).alias("t"), tx.mask_users(tx.mask_urls(F.col("text"))).alias("m"))
+    assert [r["t"] for r in rows.collect()] == ["<url> then and", "a ( x-lrb-y ]", "<url> <url> b <user> you", ""]
+    assert [r["m"] for r in rows.collect()][:3] == ["<url>\u00a0then and", "a -LRB- x-LRB-y -RSB-", " WWW.a\x0b<url> b <user>\u2003you "]
+
+
+def test_ridge_leaves_one_out(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(25, 3))
+    y = x @ [1.0, -2.0, 0.5] + rng.normal(size=25) * 2
+    loss = {}
+    for a in learning.C_GRID:
+        total = 0.0
+        for k in range(25):
+            own, t = np.delete(x, k, 0), np.delete(y, k)
+            mean = own.mean(0)
+            w = np.linalg.solve((own - mean).T @ (own - mean) + a * np.eye(3), (own - mean).T @ (t - t.mean()))
+            total += (y[k] - t.mean() - (x[k] - mean) @ w) ** 2
+        loss[a] = total
+    rows = spark.createDataFrame([(list(map(float, r)), float(t)) for r, t in zip(x, y)], "features array<double>, label double")
+    w, b, best = learning.ridge(rows)
+    assert best == min(loss, key=loss.get)
+    mean = x.mean(0)
+    assert np.allclose(w, np.linalg.solve((x - mean).T @ (x - mean) + best * np.eye(3), (x - mean).T @ (y - y.mean())))
+
+
 def test_regularised_training_stays_nearer_its_source(spark):
     found, w = triples_of_rank(spark, 16)
     source = spark.createDataFrame([(k, [5.0, 5.0, 5.0]) for k in range(16)], "id long, vec array<double>")
