@@ -6,16 +6,15 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it has no more rows and bytes of keys than these.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder of the cluster (spark.checkpoint.dir); a temporary one only on one machine."""
-    spark = df.sparkSession
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder of the cluster that driver and executors share (spark.checkpoint.dir); a temporary one only on one machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,6 +24,12 @@ def settle(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="lexigrid-checkpoint-")
             atexit.register(shutil.rmtree, shared, ignore_errors=True)
         sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df, written to the checkpoint folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

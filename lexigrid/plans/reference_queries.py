@@ -439,14 +439,14 @@ def mean_cosine(spark, sf_dir):
 
 
 @query(
-    f"""with {_cooc_sql(100)}, {_RANKED}, own as (select vocab.id, embedding::double[] as vec from vocab join ranked using (word) join embeddings on ranked.id = vec_id),
+    f"""with {_cooc_sql()}, {_RANKED}, own as (select vocab.id, embedding::double[] as vec from vocab join ranked using (word) join embeddings on ranked.id = vec_id),
     halves as (select i, j, x from cooc union all select j, i, x from cooc where i < j),
     total as (select i, sum(x) as total from halves group by i),
     s as (select i, unnest(range(64)) as dim, unnest(vec) * x as x from halves join own on j = id)
     select i, dim::int as dim, round(sum(x) / any_value(total), 6) + 0.0 as x from s join total using (i) group by i, dim"""
 )
 def context_vectors(spark, sf_dir):
-    vocabulary = settle(_vocabulary(spark, sf_dir, 100))
+    vocabulary = settle(_vocabulary(spark, sf_dir))
     vectors = settle(_word_vectors(spark, sf_dir).join(vocabulary.select("word", "id"), "word").select("id", "vec"))
     found = settle(cooc.cooccurrence(_docs(spark, sf_dir), vocabulary))
     return doc_vectors.long_form(alignment.context_vectors(found, vectors), "i", decimals=6)
@@ -531,10 +531,10 @@ def classifier_metrics(spark, sf_dir):
 
 @query()
 def glove_train(spark, sf_dir):
-    """Loss of each of three epochs of GloVe, 8 places, words of 100 occurrences or more."""
-    vocabulary = settle(_vocabulary(spark, sf_dir, 100))
+    """Loss of each of three epochs of GloVe, 8 places."""
+    vocabulary = settle(_vocabulary(spark, sf_dir))
     found = settle(cooc.cooccurrence(_docs(spark, sf_dir), vocabulary))
-    trainer = training.WordVectorTrainer(8, epochs=3, blocks=4)
+    trainer = training.WordVectorTrainer(8, epochs=3)
     trainer.fit(found, vocabulary.count())
     return spark.range(len(trainer.losses)).select((F.col("id") + 1).alias("epoch"), F.element_at(F.array(*[F.lit(x) for x in trainer.losses]), (F.col("id") + 1).cast("int")).alias("loss"))
 

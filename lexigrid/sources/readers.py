@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexigrid.functions import text as tx
-from lexigrid.operators import counts
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -177,10 +176,26 @@ def binary_triples(spark: SparkSession, path: str, wide: bool = False) -> DataFr
     return spark.createDataFrame(records.mapPartitions(decode), _RECORD)
 
 
+def blob_triples(spark: SparkSession, path: str) -> DataFrame:
+    """i, j, x of a Parquet folder of blobs of 12-byte records, as sinks.cooccurrence_binary() writes them."""
+
+    def unpack(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        kind = np.dtype([("i", "<i4"), ("j", "<i4"), ("x", "<f4")])
+        for b in batches:
+            for blob in b.column(0).to_pylist():
+                got = np.frombuffer(blob, kind)
+                yield pa.record_batch([pa.array(got["i"].astype(np.int32)), pa.array(got["j"].astype(np.int32)), pa.array(got["x"].astype(np.float64))], names=["i", "j", "x"])
+
+    return spark.read.parquet(path).select("records").mapInArrow(unpack, _RECORD)
+
+
 def sentence_shards(spark: SparkSession, patterns: str, shuffle_seed: int | None = None) -> DataFrame:
     """Examples of comma-separated Parquet paths, in a seeded random order if asked."""
     rows = spark.read.parquet(*[p.strip() for p in patterns.split(",") if p.strip()])
     return rows if shuffle_seed is None else rows.orderBy(F.rand(shuffle_seed))
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("counts",)]
+__all__ = ["TASKS", "binary_triples", "blob_triples", "corpus", "cr", "dbpedia", "imdb", "labelled", "mpqa", "mr", "mrpc", "newsgroups", "numbered_lines", "one_file_per_class", "sentence_shards", "sick", "sst", "sst_sentences", "sts", "subj", "trec", "vocabulary_file", "word_vectors"]

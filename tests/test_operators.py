@@ -319,7 +319,7 @@ def test_a_batch_is_its_entries_one_by_one(rule, adagrad):
 
 
 def test_blocks_follow_the_size_and_sources_must_be_whole(spark):
-    assert [training.block_count(*x) for x in ((10, 10), (60_000, 10), (10, 10**9), (10**6, 10**6))] == [2, 4, 24, 50]
+    assert [training.block_count(*x) for x in ((10, 10), (60_000, 10), (10, 10**9), (10**6, 10**6))] == [2, 4, 64, 50]
     found, _ = triples_of_rank(spark, 6)
     source = spark.createDataFrame([(k, [1.0, 1.0]) for k in range(5)], "id long, vec array<double>")
     with pytest.raises(ValueError):

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexigrid.operators import counts
+from lexigrid.plans import file_queries, fitted_queries  # noqa: F401  they add their queries
 from lexigrid.plans import reference_queries as rq
 from lexigrid.sources import readers, sinks
 from lexigrid.streaming import word_count
@@ -82,9 +83,11 @@ def test_streamed_counts(spark, tmp_path):
 
 
 FAST = ["tokenize_counts", "vocab_ranked", "vocab_topn_ids", "feature_vocab", "cooc_weighted", "cooc_nonzeros", "bonc_2", "bof_weighted", "doc_sif", "pair_cosine", "sentence_triples", "sentence_stats", "sentence_ids_truncated", "centroid_predict", "mask_urls", "stratified_folds", "vocabulary_matrix", "mean_cosine", "context_vectors", "normalized_sentences", "padded_batches", "shard_numbers", "head_tail_split", "retrieval_accuracy", "accuracy_and_f1", "length_quality_correlation"]
+FILES = ["read_labelled", "read_labelled_titles", "read_file_per_class", "read_pairs", "read_corpus", "read_vocabulary", "read_word_vectors", "vectors_to_parquet", "cooc_parquet", "cooc_records", "sentence_shards", "sentence_dump", "read_sentences"]
+FITTED = ["least_squares_map", "least_squares_map_shifted", "orthogonal_map", "vocabulary_expansion", "ridge_fit", "glove_loss", "bong_all", "vocabulary_vectors", "seeded_split", "first_sentences", "fold_training_rows", "finite_and_rounded", "byte_input", "ascii_folded"]
 
 
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", FAST + FILES + FITTED)
 def test_query_against_its_sql(spark, name):
     import duckdb
 
