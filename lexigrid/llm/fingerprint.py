@@ -52,11 +52,13 @@ def _hashed(df: DataFrame, id_col: str, text_col: str, width: int, keep: DigestF
     return df.select(col(id_col).cast("long"), col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def suffixes(texts: DataFrame, by: str) -> DataFrame:
-    """digest, `by`, suffix long of the distinct rows (digest, by) whose digest several have; `by` tells texts apart."""
-    several = settle(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"))
+def suffixes(texts: DataFrame, by: str) -> DataFrame | None:
+    """digest, `by`, suffix long of the distinct rows (digest, by) whose digest goes with several of `by`, which tells texts apart; None if there are none."""
+    several = settle(texts.groupBy("digest").agg(F.min(by).alias("least"), F.max(by).alias("most")).where("least <> most").select("digest"))
+    if several.isEmpty():
+        return None
     rank = F.row_number().over(Window.partitionBy("digest").orderBy(by)) - 1
-    return texts.join(several, "digest").select("digest", by, rank.cast("long").alias("suffix"))
+    return settle(texts.join(several, "digest").select("digest", by).distinct().select("digest", by, rank.cast("long").alias("suffix")))
 
 
 def suffix_text(suffix):
@@ -71,8 +73,7 @@ def collisions(df: DataFrame, digests: DataFrame, id_col: str = "doc_id", text_c
     """
     shared = digests.groupBy("digest").count().where("count > 1")
     hits = _hashed(df, id_col, text_col, width, DigestFilter.build(shared, "digest"))
-    clash = settle(suffixes(hits.select("digest", "canon").distinct(), "canon"))
-    return None if clash.isEmpty() else clash
+    return suffixes(hits.select("digest", "canon").distinct(), "canon")
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 16) -> DataFrame:

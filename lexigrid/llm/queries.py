@@ -71,8 +71,8 @@ def _op3_sql() -> str:
 def edited_fingerprints(docs: DataFrame, width: int = 16) -> DataFrame:
     """doc_id, n_chars, edited_sha256, digest, edited_digest, sha, edited_sha, near_edited, near_next of documents in the order of doc_id (then text).
 
-    sha and edited_sha are SHA-256 digests of the canonical texts, which tell
-    texts apart whose shorter digests meet. Null texts are empty, a null doc_id
+    sha and edited_sha are 16 bytes of SHA-256 of the canonical texts, which tell
+    texts apart whose other digests meet. Null texts are empty, a null doc_id
     is the first, and rows repeated in doc_id and text follow one another; each
     row gets one. Texts move once, by ranges of doc_id. A partition's last document
     meets the first of the next partition that has any in a second, small step.
@@ -92,7 +92,7 @@ def edited_fingerprints(docs: DataFrame, width: int = 16) -> DataFrame:
         k = n // 4
         edited = text[: n - k] + after[:k]
         edited_canon = canon if edited == text else fingerprint.canonical(edited)
-        return n, sha(edited).hexdigest(), fingerprint.wide_hash(canon, width), fingerprint.wide_hash(edited_canon, width), sha(canon).digest(), sha(edited_canon).digest(), float(canon == edited_canon), float(canon == after_canon)
+        return n, sha(edited).hexdigest(), fingerprint.wide_hash(canon, width), fingerprint.wide_hash(edited_canon, width), sha(canon).digest()[:16], sha(edited_canon).digest()[:16], float(canon == edited_canon), float(canon == after_canon)
 
     def batch_of(rows):
         import pyarrow as pa
@@ -133,11 +133,11 @@ def edited_fingerprints(docs: DataFrame, width: int = 16) -> DataFrame:
 def op4_fingerprints(spark: SparkSession, sf_dir: str, width: int = 16) -> DataFrame:
     """Fingerprints of every text and its edited one; tests/llm/test_text_operators.py holds them against a plain version."""
     found = settle(edited_fingerprints(table(spark, sf_dir, "documents"), width))
-    kinds = found.select("digest", "sha").unionByName(found.select(F.col("edited_digest").alias("digest"), F.col("edited_sha").alias("sha"))).distinct()
-    clash = settle(fingerprint.suffixes(kinds, "sha"))
+    kinds = found.select("digest", "sha").unionByName(found.select(F.col("edited_digest").alias("digest"), F.col("edited_sha").alias("sha")))
+    clash = fingerprint.suffixes(kinds, "sha")
     shown = lambda c: F.lower(F.hex(c))
     named = {"digest": shown("digest"), "edited_digest": shown("edited_digest")}
-    if not clash.isEmpty():
+    if clash is not None:
         for digest, sha in (("digest", "sha"), ("edited_digest", "edited_sha")):
             found = found.join(clash.select(F.col("digest").alias(digest), F.col("sha").alias(sha), F.col("suffix").alias(f"{digest}_suffix")), [digest, sha], "left")
             named[digest] = F.concat(named[digest], fingerprint.suffix_text(F.col(f"{digest}_suffix")))
