@@ -99,7 +99,7 @@ class WordBpe:
     """
 
     _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc\xbd\xbe]+|[\d\xb2\xb3\xb9\xbc\xbd\xbe]|(?:[^\s\w]|_)+")
-    _ODD = "[\x1c-\x1f\x85\xa0]|[^\x00-\xff]"
+    _ODD = re.compile("[\x1c-\x1f\x85\xa0\u0100-\U0010ffff]")
 
     def __init__(self, path: str, keep: int = KEEP, plain_names: bool = False):
         import json
@@ -114,7 +114,7 @@ class WordBpe:
         vocab, names = model["model"]["vocab"], [] if plain_names else [t["content"] for t in model["added_tokens"]]
         if any(re.search(r"\s", n) for n in names):
             raise ValueError("a special token's name holds white space")
-        self.odd = re.compile("|".join([self._ODD, *map(re.escape, names)]))
+        self.names = names
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
         ranks = {}
@@ -144,7 +144,7 @@ class WordBpe:
         import numpy as np
 
         text = raw.decode("utf-8", "replace")
-        if self.odd.search(text):
+        if self._ODD.search(text) or any(n in text for n in self.names):
             own = np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         else:
             words = self.words
