@@ -25,14 +25,18 @@ cluster apart, it is dealt as pairs of blocks, and open_links() verifies every
 pair in reach that no verified links join yet. A key's texts come sorted by
 fingerprint and no task holds more than TREE_BLOCK of them; of a key with more, the
 clusters of each block are tied to one hub, so that all go on to that step
-together. So no pair of a key in reach is left out. Whether two texts meet is a
-matter of chance; at a similarity of 0.8 it is the reach of the fingerprint that
+together. So no pair of a key in reach is left out. The bands' keys meet first.
+Texts of clusters that these leave open carry a label of what open pairs join, and
+all pairs of it in reach are verified in any case; so the other keys, ten times as
+many, give no pairs of one label, and a large group not a tree for each key. Whether
+two texts meet is a matter of chance; at a similarity of 0.8 it is the reach of the fingerprint that
 loses most, 1 in 100 (README: measured recall).
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -53,6 +57,7 @@ ALL_PAIRS = 8
 TREE_BLOCK = 4096
 SAMPLE = 64
 BLOCK = 256
+NO_LABEL = -1
 _KEEP = 50_000
 #: Pairs of segments.
 _LEFT, _RIGHT = np.triu_indices(SEGMENTS, 1)
@@ -247,23 +252,53 @@ def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
 
 
 def similar_pairs(distinct: DataFrame, distance: int) -> DataFrame:
-    """Candidates (a, b), a below b, among distinct fingerprints (fp, indices, bands): candidates() of each key, some more than once.
+    """Candidates (a, b, open, link) as met() has them, of the keys of all kinds among distinct fingerprints (fp, indices, bands); what open pairs of bands join is tied to its least text."""
+    first = settle(met(distinct.select(F.col("bands").alias("source"), "fp", F.lit(NO_LABEL).cast("long").alias("label")), distance, band_rows))
+    release(distinct.sparkSession)
+    whole = settle(components(first.where("open").select("a", "b")))
+    release(distinct.sparkSession)  # the rounds of components()
+    names = settle(whole.select("root").distinct().select("root", F.monotonically_increasing_id().alias("label")))
+    labels = whole.join(names, "root").select(F.col("node").alias("fp"), "label")
+    rest = distinct.join(labels, "fp", "left").select(F.col("indices").alias("source"), "fp", F.coalesce("label", F.lit(NO_LABEL)).alias("label"))
+    known = first.where("link").select("a", "b", F.lit(False).alias("open"), "link")
+    tied = whole.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"), F.lit(True).alias("open"), F.lit(False).alias("link"))
+    return known.unionByName(tied).unionByName(met(rest, distance, search_rows))
+
+
+def band_rows(sources: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, key) of the keys of bands of texts."""
+    bands = np.frombuffer(b"".join(sources), "<i8")
+    yield np.arange(len(bands)) // BANDS, bands
+
+
+def search_rows(sources: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, key) of search_keys() of indices of texts."""
+    indices = np.frombuffer(b"".join(sources), "<u2").reshape(-1, SEGMENTS, 1 << WEAK)
+    for at in range(0, len(indices), 1000):
+        row, key = search_keys(indices[at : at + 1000])
+        yield row + at, key
+
+
+def unlike(pairs: list[tuple[int, int]], label: np.ndarray) -> list[tuple[int, int]]:
+    """The pairs of rows that have no label or different ones."""
+    return [(a, b) for a, b in pairs if label[a] == NO_LABEL or label[a] != label[b]]
+
+
+def met(texts: DataFrame, distance: int, rows: Callable[[list[bytes]], Iterable[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+    """Candidates (a, b), a below b, among distinct fingerprints (source, fp, label): candidates() of each key that `rows` finds in the sources, some more than once, none of one label.
 
     open: the two are of a cluster with pairs in reach that are no candidates;
-    open pairs join all of it. With link false a pair only ties clusters together
-    that different blocks of a key may have pairs in reach between.
+    open pairs and labels join all of it. With link false a pair only ties
+    clusters together that different blocks of a key may have pairs in reach between.
     """
 
     def emit(batches):
         import pyarrow as pa
 
         for batch in batches:
-            fp, indices = batch.column(0), np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(-1, SEGMENTS, 1 << WEAK)
-            for at in range(0, len(indices), 1000):
-                row, key = search_keys(indices[at : at + 1000])
-                yield pa.record_batch([pa.array(key), fp.take(pa.array(row + at))], names=["key", "fp"])
-            bands = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<i8")
-            yield pa.record_batch([pa.array(bands), fp.take(pa.array(np.arange(len(bands)) // BANDS))], names=["key", "fp"])
+            for row, key in rows(batch.column(0).to_pylist()):
+                at = pa.array(row)
+                yield pa.record_batch([pa.array(key), batch.column(1).take(at), batch.column(2).take(at)], names=["key", "fp", "label"])
 
     def meet(batches):
         import pyarrow as pa
@@ -271,8 +306,9 @@ def similar_pairs(distinct: DataFrame, distance: int) -> DataFrame:
         found: set[tuple[bytes, bytes]] = set()
         opened: set[tuple[bytes, bytes]] = set()
         tied: set[tuple[bytes, bytes]] = set()
-        ahead = np.zeros((0, LANES), dtype=np.uint64)  # of the held key: a sample of its blocks so far
-        held_key, held = np.zeros(0, dtype=np.int64), np.zeros((0, LANES), dtype=np.uint64)
+        none = np.zeros((0, LANES), dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        ahead = none  # of the held key: a sample of its blocks so far, with labels
+        held_key, (held, held_label) = np.zeros(0, dtype=np.int64), none
 
         def out():
             rows = [(a, b, (a, b) in opened, True) for a, b in found] + [(a, b, True, False) for a, b in tied - found]
@@ -284,61 +320,69 @@ def similar_pairs(distinct: DataFrame, distance: int) -> DataFrame:
         def add(to, pairs):
             to.update((a, b) if a < b else (b, a) for a, b in pairs if a != b)
 
-        def block(prints):
+        def one_label(label):
+            return label[0] != NO_LABEL and bool((label == label[0]).all())
+
+        def block(prints, label):
             """One of several blocks of a key: its candidates, with those before it by their sample, and a tie from each of its clusters to the first text of all."""
-            both = np.concatenate([ahead, prints])
-            some = candidates(both, distance)
-            raw = [p.tobytes() for p in both]
-            for to in (found, opened):
-                add(to, ((raw[a], raw[b]) for a, b in some))
-            joined = clusters(some)
-            alone = set(range(len(both))).difference(*joined)
-            add(tied, ((raw[own[0]], raw[0]) for own in joined))
-            add(tied, ((raw[k], raw[0]) for k in alone))
-            return both[:: -(-len(both) // SAMPLE)]  # with the first, which is the hub
-
-        def groups(key, prints):
-            if len(ahead):
+            both, label = np.concatenate([ahead[0], prints]), np.concatenate([ahead[1], label])
+            if not one_label(label):
+                some = candidates(both, distance)
+                raw = [p.tobytes() for p in both]
+                for to in (found, opened):
+                    add(to, ((raw[a], raw[b]) for a, b in unlike(some, label)))
+                joined = clusters(some)
+                alone = set(range(len(both))).difference(*joined)
+                add(tied, ((raw[a], raw[b]) for a, b in unlike([(own[0], 0) for own in joined] + [(k, 0) for k in alone], label)))
+            step = -(-len(both) // SAMPLE)
+            return both[::step], label[::step]  # with the first, which is the hub
+
+        def groups(key, prints, label):
+            if len(ahead[0]):
                 first = int(np.searchsorted(key, key[0], "right"))
-                block(prints[:first])
-                key, prints = key[first:], prints[first:]
+                block(prints[:first], label[:first])
+                key, prints, label = key[first:], prints[first:], label[first:]
                 if not len(key):
                     return
             cut = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]])
             size = np.diff(cut)
             two = cut[:-1][size == 2]
             near = np.bitwise_count(prints[two] ^ prints[two + 1]).sum(axis=1, dtype=np.int64) <= distance
+            near &= (label[two] == NO_LABEL) | (label[two] != label[two + 1])
             add(found, ((prints[k].tobytes(), prints[k + 1].tobytes()) for k in two[near].tolist()))
             for k in np.nonzero(size > 2)[0].tolist():
-                own = prints[cut[k] : cut[k + 1]]
+                own, named = prints[cut[k] : cut[k + 1]], label[cut[k] : cut[k + 1]]
+                if one_label(named):
+                    continue
                 some = candidates(own, distance)
-                add(found, ((own[a].tobytes(), own[b].tobytes()) for a, b in some))
+                add(found, ((own[a].tobytes(), own[b].tobytes()) for a, b in unlike(some, named)))
                 if len(own) > ALL_PAIRS:
-                    add(opened, ((own[a].tobytes(), own[b].tobytes()) for a, b in open_edges(some)))
+                    add(opened, ((own[a].tobytes(), own[b].tobytes()) for a, b in unlike(open_edges(some), named)))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             key = np.concatenate([held_key, batch.column(0).to_numpy(zero_copy_only=False)])
             prints = np.concatenate([held, np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<u8").reshape(-1, LANES)])
+            label = np.concatenate([held_label, batch.column(2).to_numpy(zero_copy_only=False)])
             last = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
             if last:
-                groups(key[:last], prints[:last])
-                ahead = ahead[:0]
-            held_key, held = key[last:], prints[last:]
+                groups(key[:last], prints[:last], label[:last])
+                ahead = none
+            held_key, held, held_label = key[last:], prints[last:], label[last:]
             while len(held) > TREE_BLOCK:
-                ahead = block(held[:TREE_BLOCK])
-                held_key, held = held_key[TREE_BLOCK:], held[TREE_BLOCK:]
+                ahead = block(held[:TREE_BLOCK], held_label[:TREE_BLOCK])
+                held_key, held, held_label = held_key[TREE_BLOCK:], held[TREE_BLOCK:], held_label[TREE_BLOCK:]
             if len(found) + len(tied) > 100_000:
                 yield out()
         if len(held_key):
-            groups(held_key, held)
+            groups(held_key, held, held_label)
         if found or tied:
             yield out()
         tidy()
 
-    parts = shuffle_partitions(distinct.sparkSession)
-    keyed = distinct.select("fp", "indices", "bands").mapInArrow(emit, "key long, fp binary")
+    parts = shuffle_partitions(texts.sparkSession)
+    keyed = texts.select("source", "fp", "label").mapInArrow(emit, "key long, fp binary, label long")
     return keyed.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(meet, "a binary, b binary, open boolean, link boolean")
 
 
@@ -394,6 +438,7 @@ def open_links(hot: DataFrame, member: DataFrame, sets: DataFrame, distance: int
     """
     whole = components(hot).select(F.col("node").alias("fp"), F.col("root").alias("cluster"))
     known = settle(whole.join(member.withColumnRenamed("node", "fp"), "fp", "left").select("cluster", "fp", F.coalesce("root", "fp").alias("root")))
+    release(hot.sparkSession)
     left = known.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     own = known.join(left.select("cluster", F.ceil(F.col("n") / BLOCK).alias("blocks")), "cluster").withColumn("own", F.pmod(F.xxhash64("fp"), "blocks"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -482,6 +527,7 @@ def similar_labels(df: DataFrame, id_col: str, text_col: str, shingle: int, simi
     links = settle(verified(pairs, sets, similarity))
     release(df.sparkSession)  # a set for each pair
     member = settle(components(links))
+    release(df.sparkSession)
     more = settle(open_links(hot, member, sets, distance, similarity).distinct())
     release(df.sparkSession)
     if not more.isEmpty():

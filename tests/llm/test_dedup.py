@@ -353,6 +353,50 @@ def test_blocks_of_any_size_give_the_same_components(spark, monkeypatch):
     assert found[0] == found[1]
 
 
+def test_a_large_group_gives_few_pairs_for_each_text(spark):
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")  # a task has few keys of the group, so it gives few pairs of them twice
+    try:
+        for size in (200, 800):
+            rows = list(enumerate(family(random.Random(size), size, 304, (1, 1, 2))))
+            distinct = wide_simhash.sketches(docs(spark, rows), "doc_id", "text", 5).dropDuplicates(["fp"])
+            pairs = wide_simhash.similar_pairs(distinct, wide_simhash.allowed_distance())
+            assert pairs.count() <= 20 * size
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_pairs_of_one_label_are_left_out_and_no_others(spark, monkeypatch, block):
+    monkeypatch.setattr(wide_simhash, "TREE_BLOCK", block)
+    rng = np.random.default_rng(21)
+    base = rng.integers(0, 1 << 63, (3, 4), dtype=np.uint64)
+    prints = base[rng.integers(0, 3, 120)] ^ np.uint64(1) << rng.integers(0, 64, (120, 4), dtype=np.uint64)
+    whole = sorted({p.tobytes() for p in prints})
+    label = {p: int(x) for p, x in zip(whole, rng.integers(-1, 4, len(whole)))}
+    label |= dict.fromkeys(whole[::2], 9)  # among them many of one label
+    sources = spark.createDataFrame([(b"k%d" % (n % 4), p, label[p]) for n, p in enumerate(whole)], "source binary, fp binary, label long")
+    key = lambda source: [(np.arange(len(source)), np.array([int(x[1:]) for x in source]))]
+    got = wide_simhash.met(sources, 60, key).collect()
+    assert all(label[r["a"]] == -1 or label[r["a"]] != label[r["b"]] for r in got)
+    root = {p: p for p in whole}
+
+    def find(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    def tie(a, b):
+        root[max(find(a), find(b))] = min(find(a), find(b))
+
+    for a, b in [(p, q) for p in whole for q in whole if label[p] == label[q] != -1] + [(r["a"], r["b"]) for r in got]:
+        tie(a, b)
+    for a in whole:
+        for b in whole:
+            if whole.index(a) % 4 == whole.index(b) % 4 and (int.from_bytes(a) ^ int.from_bytes(b)).bit_count() <= 60:
+                assert find(a) == find(b)
+
+
 def test_copies_edited_in_one_place_are_found(spark):
     rng = random.Random(19)
     rows, kinds = [], {"swapped": [], "appended": [], "truncated": []}
