@@ -116,6 +116,52 @@ def test_cooccurrence_against_brute_force(spark, window, small, monkeypatch):
     assert {r["i"]: r["n"] for r in cooc.nonzeros(found).collect()} == n
 
 
+def test_a_large_vocabulary_is_paired_in_rows_and_symmetric_reads_once(spark, monkeypatch):
+    words = spark.range(1_200_000).select(F.concat(F.lit("w"), "id").alias("word"), "id", F.lit(5).alias("count"))
+    lines = docs(spark, ["w3 w1199999 w3", "w3 q w1199999"])
+    found = cooc.cooccurrence(lines, words, 2)
+    assert sorted(tuple(r) for r in found.collect()) == [(3, 3, 0.5), (3, 1199999, 2.5)]
+    both = cooc.symmetric(found)
+    assert "Join" not in both._jdf.queryExecution().executedPlan().toString()
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2  # one to pair, one to add up
+    assert sorted(tuple(r) for r in both.collect()) == [(3, 3, 0.5), (3, 1199999, 2.5), (1199999, 3, 2.5)]
+    assert sorted(tuple(r) for r in cooc.row_totals(lines, words, 2).collect()) == [(3, 3.0), (1199999, 2.5)]
+
+
+def test_sums_in_many_parts_and_turns(spark, monkeypatch):
+    monkeypatch.setattr(cooc, "TOKENS", 50)
+    monkeypatch.setattr(cooc, "_parts", lambda *a: 3)
+    rng = random.Random(5)
+    lines = docs(spark, [" ".join(f"w{int(rng.paretovariate(0.7)) % 60}" for _ in range(150)) for _ in range(8)])
+    vocabulary = counts.corpus_vocabulary(lines)
+    want = {(r["i"], r["j"]): r["x"] for r in cooc.cooccurrence(lines, vocabulary).collect()}
+    blobs = [cooc._pack(np.arange(5) * k, np.arange(1, 6) << 40) for k in (1, 300)]
+    assert all((a == b).all() for k, blob in zip((1, 300), blobs) for a, b in zip(cooc._unpack(blob), (np.arange(5) * k, np.arange(1, 6) << 40)))
+    key, total = cooc._added(np.array([7, 1 << 60, 7]), np.array([1 << 50, 3, 1]))
+    assert key.tolist() == [7, 1 << 60] and total.tolist() == [(1 << 50) + 1, 3]
+    monkeypatch.setattr(cooc, "_parts", lambda *a: 1)
+    monkeypatch.setattr(cooc, "SUMS", 50)
+    assert {(r["i"], r["j"]): r["x"] for r in cooc.cooccurrence(lines, vocabulary).collect()} == want
+    totals = Counter()
+    for (i, j), x in want.items():
+        for k in {i, j}:
+            totals[k] += x
+    got = {r["i"]: r["total"] for r in cooc.row_totals(lines, vocabulary).collect()}
+    assert got.keys() == totals.keys() and all(math.isclose(got[k], totals[k]) for k in got)
+
+
+def test_words_and_tokens_of_batches_are_those_of_columns(spark):
+    import pyarrow as pa
+
+    from lexigrid.functions import batches
+
+    texts = ["", None, " a\u00a0b, c!?d ", "\u2003x\x1cy\x85z", "q\u2ffcr \u31ef!", "e\u0301t\u00e9 $5.00\n", "\ud7ff\U0001f600\U0001f600 a_b"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(tx.split_words(F.col("text")), tx.tokenize(F.col("text"))).collect()
+    for k, split in enumerate((batches.words, batches.tokens)):
+        length, flat = split(pa.chunked_array([pa.array(texts)]))
+        assert length.tolist() == [len(r[k]) for r in rows] and flat.to_pylist() == [w for r in rows for w in r[k]]
+
+
 def vectors(spark, words, d=4, seed=3):
     rng = np.random.default_rng(seed)
     table = {w: rng.normal(size=d) for w in words}
