@@ -150,6 +150,28 @@ def test_sums_in_many_parts_and_turns(spark, monkeypatch):
     assert got.keys() == totals.keys() and all(math.isclose(got[k], totals[k]) for k in got)
 
 
+@pytest.mark.parametrize("rows_held", [4, 1000])
+def test_context_vectors_without_pairs_and_loss_without_joins(spark, rows_held, monkeypatch):
+    monkeypatch.setattr(cooc, "ROWS_HELD", max(rows_held, 40))
+    rng = random.Random(7)
+    lines = docs(spark, [" ".join(f"w{int(rng.paretovariate(0.7)) % 50}" for _ in range(n)) for n in (0, 1, 3, 90, 700, 33)] + [None])
+    vocabulary = counts.corpus_vocabulary(lines).where("id < 40")
+    own = spark.createDataFrame([(k, [rng.random() for _ in range(3)]) for k in range(0, 40, 3)] + [(99, [1.0, 1.0, 1.0])], "id long, vec array<double>")
+    found = cooc.cooccurrence(lines, vocabulary, 4)
+    want = {r["i"]: r["vec"] for r in alignment.context_vectors(found, own).collect()}
+    made = alignment.corpus_context_vectors(lines, vocabulary, own, 4)
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {r["i"]: r["vec"] for r in made.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    few = {r["i"]: r["vec"] for r in alignment.corpus_context_vectors(lines, vocabulary, own, 4, only=own).collect()}
+    assert few.keys() == want.keys() & set(range(0, 40, 3)) and all(np.allclose(few[k], want[k]) for k in few)
+    state = own.select("id", F.concat("vec", "vec", F.array(F.lit(0.1), F.lit(0.2))).alias("state"))
+    held = training.loss(found, state, 3)
+    assert "Join" not in held._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(training, "is_small", lambda *a: False)
+    assert held.first()[0] == pytest.approx(training.loss(found, state, 3).first()[0])
+
+
 def test_words_and_tokens_of_batches_are_those_of_columns(spark):
     import pyarrow as pa
 
