@@ -172,6 +172,31 @@ def test_context_vectors_without_pairs_and_loss_without_joins(spark, rows_held,
     assert held.first()[0] == pytest.approx(training.loss(found, state, 3).first()[0])
 
 
+def test_document_vectors_are_summed_in_rows(spark, monkeypatch):
+    from lexigrid.functions import batches
+
+    rng = random.Random(9)
+    lines = docs(spark, [" ".join(rng.choice(["a", "B", "c,", "d", "x"]) for _ in range(n)) for n in (0, 1, 2, 50, 9)] + [None])
+    _, v = vectors(spark, ["a", "b", "c", "d", ","])
+    weights = spark.createDataFrame([("a", 0.5), ("c", 3.0)], "word string, weight double")
+    low = F.lower(F.col("text"))
+
+    def made():
+        yield doc_vectors.document_vectors(lines, low, v, 4, weights=weights, split=batches.tokens)
+        yield doc_vectors.document_vectors(lines, tx.tokenize(low), v, 4, weights=weights, average=True)
+        yield doc_vectors.document_vectors(lines, low, v, 4, average=True, split=batches.words)
+        for kind in ("mult", "conv"):
+            yield doc_vectors.composed_vectors(lines, v, 3, kind, 4)
+
+    rows = list(made())
+    assert all(" Exchange" not in f._jdf.queryExecution().executedPlan().toString() for f in rows)
+    got = [{r["doc_id"]: r["vec"] for r in f.collect()} for f in rows]
+    monkeypatch.setattr(doc_vectors, "is_small", lambda *a: False)
+    for own, f in zip(got, made()):
+        want = {r["doc_id"]: r["vec"] for r in f.collect()}
+        assert own.keys() == want.keys() and all(np.allclose(own[k], want[k]) for k in want)
+
+
 def test_words_and_tokens_of_batches_are_those_of_columns(spark):
     import pyarrow as pa
 
