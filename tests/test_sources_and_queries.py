@@ -116,3 +116,24 @@ def test_command_line(spark, tmp_path):
     assert spark.read.parquet(at("cooc.parquet")).where("i > j").isEmpty()
     got = {r["word"]: r["vec"] for r in spark.read.parquet(at("vectors.parquet")).collect()}
     assert set(got) == set("abcd") and all(len(v) == 3 for v in got.values())
+
+
+def test_odd_texts_come_back_whole_from_delimited_files(spark, tmp_path):
+    from lexigrid.plans import file_queries
+
+    texts = ["", " ", "  a", "a  ", "\x00a", "a\x1f", "a\x00\"b", '"', '""', "a\\", 'a, "b" ,c', "#a", "x" * 200_000, None]
+    rows = [(k, t, "en", "s") for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    for query, label in ((file_queries.read_labelled, "en"), (file_queries.read_labelled_titles, "en:s")):
+        got = {(r["label"], r["text"]): r["n"] for r in query(spark, str(tmp_path)).collect()}
+        assert got == {(label, t or ""): 1 + (not t) for t in texts}
+
+
+def test_lines_are_numbered_over_a_folder_of_files(spark, tmp_path):
+    from lexigrid.plans.file_queries import _ordered_file
+
+    rows = spark.range(0, 5000, 1, 7).select(F.col("id"), F.repeat(F.lit("y"), (F.col("id") * 7 % 50).cast("int")).alias("pad"))
+    path = _ordered_file(rows.orderBy(F.rand(1)), F.concat_ws(" ", "id", "pad"), "id", str(tmp_path / "lines"))
+    assert len([p for p in (tmp_path / "lines").iterdir() if p.name.startswith("part-")]) > 1
+    found = readers.numbered_lines(spark, path)
+    assert found.count() == 5000 and found.where(F.split("value", " ")[0].cast("long") != F.col("line_no")).isEmpty()
