@@ -386,6 +386,35 @@ def test_batches_and_rounds_cover_all():
     assert len(seen) == len(set(seen)) == 28 and all(len({b for p in r for b in p}) == 8 for r in training.rounds(8))
 
 
+@pytest.mark.parametrize("apart", [False, True])
+def test_a_word_of_every_entry_makes_few_batches(apart):
+    block = np.random.default_rng(13).integers(4, 6, 300) * 3
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(300), np.arange(300)))
+    made = training.batches(i, j, block, apart)
+    assert sorted(np.concatenate(made).tolist()) == list(range(90_000))
+    assert len(made) <= (2 if apart else 5) * max(np.bincount(block // 3)[4:])
+    for at in made:
+        if apart:
+            assert len(set(i[at])) == len(at) == len(set(j[at]))
+        else:
+            both = np.concatenate([i[at], j[at][i[at] != j[at]]])
+            assert len(set(both.tolist())) == len(both)
+
+
+@pytest.mark.parametrize("adagrad", [False, True])
+def test_a_batch_apart_is_its_entries_one_by_one(adagrad):
+    rng, d = np.random.default_rng(14), 3
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(12), np.arange(12)))
+    weight, log_x, start = rng.random(144), rng.normal(size=144), rng.normal(size=(12, training.GloveRule.size(3)))
+    made, runs = training.batches(i, j, np.arange(12) % 2, True), []
+    for cut in (made, [np.array([k]) for at in made for k in at]):
+        p, acc = start.copy(), np.ones_like(start)
+        for at in cut:
+            training.GloveRule.step(p, acc, i[at], j[at], weight[at], log_x[at], d, 0.05, adagrad, 0.0, None, None, [0.0])
+        runs.append(p)
+    assert np.allclose(*runs)
+
+
 @pytest.mark.parametrize("model,method,eta", [("glove", "adagrad", None), ("glove", "sgd", 0.05), ("sn", "adagrad", None)])
 def test_training_lowers_the_loss(spark, model, method, eta):
     found, w = triples_of_rank(spark)
