@@ -197,6 +197,21 @@ def test_document_vectors_are_summed_in_rows(spark, monkeypatch):
         assert own.keys() == want.keys() and all(np.allclose(own[k], want[k]) for k in want)
 
 
+def test_grams_are_counted_in_batches(spark):
+    rng = random.Random(15)
+    lines = docs(spark, [" ".join(rng.choice(["a", "B!", "\u00e9", "z", "\U0001f600q"]) for _ in range(n)) for n in (0, 1, 2, 60, 9)] + [None])
+    for k in (1, 2, 3):
+        for ordered in (True, False):
+            tokens = tx.tokenize(F.lower(F.col("text")))
+            grams = tx.ngrams(tokens, k) if ordered else tx.sorted_ngrams(tokens, k)
+            found = counts.gram_counts(lines, k, ordered)
+            assert " Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+            want = sorted(map(tuple, counts.document_counts(lines, F.transform(grams, tx.gram_text)).collect()))
+            assert sorted(map(tuple, found.collect())) == want
+    twice = spark.createDataFrame([(1, "a b"), (1, "a")], "doc_id long, text string")
+    assert sorted(map(tuple, counts.gram_counts(twice, 1).collect())) == [(1, "a", 2), (1, "b", 1)]
+
+
 def test_words_and_tokens_of_batches_are_those_of_columns(spark):
     import pyarrow as pa
 
